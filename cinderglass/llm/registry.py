@@ -1,9 +1,14 @@
 """Queries of this subpackage and the SQL that some are held against."""
 
+from cinderglass.llm import minhash_dedup
+from cinderglass.llm.minhash_dedup import op2_minhash_near_dedup
 from cinderglass.llm.substring_dedup import op10_substring_dedup
 
 QUERIES = {
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_minhash_near_dedup": minhash_dedup.ORACLE,
+}
