@@ -1,14 +1,21 @@
 """Queries of this subpackage and the SQL that some are held against."""
 
-from cinderglass.llm import minhash_dedup
+from cinderglass.llm import decontaminate, minhash_dedup
+from cinderglass.llm.bpe import op5_bpe_round_trip
+from cinderglass.llm.decontaminate import op8_decontaminate
 from cinderglass.llm.minhash_dedup import op2_minhash_near_dedup
 from cinderglass.llm.substring_dedup import op10_substring_dedup
+from cinderglass.llm.token_store import op9_token_store
 
 QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_token_store": op9_token_store,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op2_minhash_near_dedup": minhash_dedup.ORACLE,
+    "op8_decontaminate": decontaminate.ORACLE,
 }

@@ -116,3 +116,7 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         high = max(low + 1, int(np.searchsorted(total, base + limit, "right")))
         yield batch.slice(low, high - low)
         low = high
+
+
+#: As ``NOT_ALNUM``, for text whose A-Z are still to be lower-cased.
+NOT_ALNUM_ANY_CASE = NOT_ALNUM[LOWER]
