@@ -6,9 +6,11 @@ from cinderglass.llm.decontaminate import op8_decontaminate
 from cinderglass.llm.minhash_dedup import op2_minhash_near_dedup
 from cinderglass.llm.substring_dedup import op10_substring_dedup
 from cinderglass.llm.token_store import op9_token_store
+from cinderglass.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_toxicity": op3_toxicity,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op8_decontaminate": op8_decontaminate,
     "op9_token_store": op9_token_store,

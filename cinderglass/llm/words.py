@@ -58,14 +58,15 @@ class Words:
     end: np.ndarray  # per word, byte after its last
     first: np.ndarray  # per text, index of its first word; one more at the end
 
-    def hashes(self, table: np.ndarray | None = None) -> np.ndarray:
-        """A 64-bit hash of each word's bytes, after mapping bytes by ``table``."""
+    def hashes(self, table: np.ndarray | None = None, longest: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word's (first ``longest``) bytes, after mapping bytes by ``table``."""
         buf = self.buf if table is None else table[self.buf]
         up, down = _powers(len(buf) + 1)
         sums = np.empty(len(buf) + 1, np.uint64)
         sums[0] = 0
         np.cumsum(_BYTES[buf] * up[: len(buf)], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * down[self.start])
+        end = self.end if longest is None else np.minimum(self.end, self.start + longest)
+        return mix((sums[end] - sums[self.start]) * down[self.start])
 
     def owner(self) -> np.ndarray:
         """Per word, the index of its text."""
