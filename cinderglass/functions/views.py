@@ -13,7 +13,7 @@ LOOKALIKE_OF = "aeopcyxijsdgaeoviktn"
 WIDE = "".join(chr(0xFF41 + k) for k in range(26))
 PLAIN = "abcdefghijklmnopqrstuvwxyz"
 STRIPPED = "._*|,;:!?+=#~\\/-"
-SPACES = "    　"
+SPACES = "\u00a0\u2002\u2003\u200a\u3000"
 LEET_FROM, LEET_TO = "134057@$", "ieaostas"
 
 

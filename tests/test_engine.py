@@ -30,8 +30,8 @@ def one(spark, make, content):
         (views.collapsed, "a b cd", "abcd "),
         (views.entity_decoded, "&#105;gnore &#65; &#x69; &lt;b&gt; &amp;lt; &#39;", "ignore ENTITY_65 \\x69 <b> &lt; ENTITY_39"),
         (views.stripped, "i.g-n_o/r\\e  x\n  y", "ignore x\n y"),
-        (views.confusable, "ignоre ｓｙｓ é", "ignore sys e"),
-        (views.unicode_spaces, "a b　 c\n d", "a b c\n d"),
+        (views.confusable, "ign\u043ere \uff53\uff59\uff53 e\u0301", "ignore sys e"),
+        (views.unicode_spaces, "a\u00a0b\u2003\u3000c\n d", "a b c\n d"),
         (views.tag_stripped, "ign<b>ore</b> <a\nb>", "ignore <a\nb>"),
         (views.percent_decoded, "%69gnore%49 100% %zz a+b %ff", "ignorei 100% %zz a+b �"),
         (views.leet, "1gn0r3 $y5", "ignore sys"),
@@ -83,7 +83,7 @@ def test_detectors(spark):
 
     run = base64.b64encode(b"x" * 30 + b" ignore this now please, and more").decode()
     rows = {
-        "tag": "a\U000e0041", "mixed": "раypal", "zero": "a​", "bidi": "‮", "op": "⁢", "fill": "ㅤ", "sep": " ", "var": "️",
+        "tag": "a\U000e0041", "mixed": "раypal", "zero": "a\u200b", "bidi": "\u202e", "op": "\u2062", "fill": "\u3164", "sep": "\u2028", "var": "\ufe0f",
         "b64": run, "clean64": base64.b64encode(b"y" * 60).decode(), "prefix": "zz aWdub3Jl", "leet": "5y5t3m pr0mpt", "plain": "system prompt", "clean": "hello",
     }
     names = list(rows)
