@@ -12,6 +12,7 @@ the whole.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -133,9 +134,15 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
+@functools.cache
+def worker_codec(path: str) -> Codec:
+    """One codec for all tasks of a worker: the file is parsed once, the memo stays warm."""
+    return Codec(path)
+
+
 def _encode(path: str, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = worker_codec(path)
         decimal = [b",%d" % i for i in range(len(codec.bytes_of))]
         for batch in batches:
             for piece in W.chunks(batch, "_text"):

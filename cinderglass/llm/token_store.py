@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinderglass.llm import words as W
-from cinderglass.llm.bpe import Codec, default_path
+from cinderglass.llm.bpe import default_path, worker_codec
 from cinderglass.llm.shared import parts, stash, table
 
 END_ID = 2
@@ -101,7 +101,7 @@ def _write(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        codec, shard, block = Codec(path), TaskContext.get().partitionId(), 0
+        codec, shard, block = worker_codec(path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         docs, lengths, held, size = [], [], [], 0
 
