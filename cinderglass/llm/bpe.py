@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +28,12 @@ from cinderglass.llm.shared import table
 #: Pieces from this many characters on are cut into leaves of this size.
 LEAF_CHARS = 1024
 #: Pieces that are remembered; the memo starts anew beyond.
-MEMO = 400_000
+MEMO = 800_000
 
 _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 #: Texts of these characters are split here, others by the library.
 _PLAIN = re.compile("[^\t\n\r -~ -ɏ]")
 _PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
-_WORD = re.compile(rf" ?[{_L}]+")
 
 
 def default_path() -> str:
@@ -64,11 +64,12 @@ class Codec:
         self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if special else None
         n = self.tok.get_vocab_size()
         self.bytes_of = [special[i].encode() if i in special else bytes(symbols[c] for c in self.tok.id_to_token(i)) for i in range(n)]
-        self.newline = self._raw(["\n"])[0]
+        self.model = self.tok.model
+        self.shown = {b: c for c, b in symbols.items()}
         self.memo: dict[str, bytes] = {}
 
     def _raw(self, pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch(pieces, add_special_tokens=False)]
+        return [e.ids for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def pieces(self, text: str) -> list[str]:
         if not _PLAIN.search(text):
@@ -76,22 +77,13 @@ class Codec:
         return [text[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(text)]
 
     def _learn(self, fresh: set[str]) -> None:
-        """Put the ids of new pieces into the memo; words go many to a line."""
-        simple = [p for p in fresh if len(p) < LEAF_CHARS and _WORD.fullmatch(p)]
-        for low in range(0, len(simple), 2000):
-            part = simple[low : low + 2000]
-            ids = np.array(self.tok.encode("\n".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.newline[0]), len(ids))
-            begin = 0
-            for p, end in zip(part, ends, strict=True):
-                self.memo[p] = ids[begin:end].tobytes()
-                begin = end + 1
-        odd = [p for p in fresh.difference(simple) if len(p) < LEAF_CHARS]
-        for p, ids in zip(odd, self._raw(odd), strict=True):
-            self.memo[p] = np.array(ids, "<u4").tobytes()
+        """Put the ids of new pieces into the memo, from the library's merges of their byte symbols."""
         for p in fresh:
-            if len(p) >= LEAF_CHARS:
-                self.memo[p] = np.array(self.long_piece(p), "<u4").tobytes()
+            if len(p) < LEAF_CHARS:
+                ids = [t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.shown))]
+            else:
+                ids = self.long_piece(p)
+            self.memo[p] = struct.pack(f"<{len(ids)}I", *ids)
 
     def long_piece(self, piece: str) -> list[int]:
         """Encode a piece by leaves and joins."""
@@ -115,20 +107,21 @@ class Codec:
             width *= 2
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Per text, its ids as little-endian unsigned 32-bit integers."""
+        """Per text, its ids as little-endian unsigned 32-bit integers; new pieces of all texts are learned at once."""
+        found: list[list[str]] = []
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        self.memo.update(self.special)
+        fresh: set[str] = set()
         for text in texts:
-            out = []
+            own: list[str] = []
             for part in self.cut.split(text or "") if self.cut and text and "<" in text else [text or ""]:
-                if part in self.special:
-                    out.append(self.special[part])
-                    continue
-                found = self.pieces(part)
-                if len(self.memo) > MEMO:
-                    self.memo.clear()
-                if fresh := set(found).difference(self.memo):
-                    self._learn(fresh)
-                out.extend(map(self.memo.__getitem__, found))
-            yield b"".join(out)
+                own += [part] if part in self.special else self.pieces(part)
+            fresh.update(own)
+            found.append(own)
+        self._learn(fresh.difference(self.memo))
+        for own in found:
+            yield b"".join(map(self.memo.__getitem__, own))
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
