@@ -1,8 +1,8 @@
 """Chat formatting: tool calls linked to results, ordered, validated, in canonical JSON.
 
 Calls and results meet in a hash join on the call's identifier.  Levels of the
-dependency graph come from rounds that release the calls all of whose dependencies
-have a level, so the number of rounds is the depth of the graph.  Validation and
+dependency graph come from pointer doubling along chains and from rounds that release
+calls with several dependencies once all of these have a level.  Validation and
 serialisation are expressions on Spark's variant type, whose objects have sorted keys.
 """
 
@@ -41,25 +41,54 @@ def _errors(name: Column, args: Column, schemas: dict) -> Column:
     return cases.otherwise(F.array(F.lit("unknown tool")))
 
 
+def _jumps(chain: DataFrame) -> DataFrame:
+    """``call_id, top, steps`` of calls with one dependency: the first call up the chain that has none or several.
+
+    Pointers double, so a chain of n calls takes log2(n) rounds.  A round that ends no
+    pointer leaves only calls on cycles and behind them; these have no row.
+    """
+    own = chain.select(F.col("call_id").alias("top"), F.lit(1).alias("more"))
+    first = stash(chain.select("call_id", F.col("need").alias("top"), F.lit(1).alias("steps")).join(own, "top", "left").select("call_id", "top", "steps", F.col("more").isNull().alias("ended")), "jumps")
+    ended, going = first.where("ended"), first.where("not ended")
+    new = count_of(ended)
+    while new and count_of(going):
+        ahead = ended.union(going).select(F.col("call_id").alias("top"), F.col("top").alias("next_top"), F.col("steps").alias("next_steps"), "ended")
+        jumped = going.drop("ended").join(ahead, "top")
+        jumped = stash(jumped.select("call_id", F.col("next_top").alias("top"), (F.col("steps") + F.col("next_steps")).alias("steps"), "ended"), "jumps")
+        ended, going = ended.union(jumped.where("ended")), jumped.where("not ended")
+        new = count_of(jumped.where("ended"))
+    return ended.drop("ended")
+
+
 def _levels(calls: DataFrame) -> DataFrame:
-    """``call_id, level`` of calls: 0 without known dependencies, else above all of them; cycles have none."""
+    """``call_id, level`` of calls: 0 without known dependencies, else above all of them.
+
+    Calls on a cycle or behind one have no row.  Chains of calls with one dependency are
+    jumped over; the calls with several then take as many rounds as lie above each other.
+    """
     ids = calls.select("call_id").where("call_id is not null").distinct()
     needs = calls.where("call_id is not null").select("call_id", F.explode("depends_on").alias("need")).distinct()
     needs = stash(needs.join(ids.select(F.col("call_id").alias("need")), "need", "left_semi"), "needs")
-    done = ids.join(needs, "call_id", "left_anti").withColumn("level", F.lit(0))
-    left, level = needs, 0
-    last = stash(done, "levels")
+    degree = needs.groupBy("call_id").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need"))
+    jumps = _jumps(degree.where("n = 1"))
+    ahead = jumps.select(F.col("call_id").alias("need"), "top", "steps")
+    several = needs.join(degree.where("n > 1").select("call_id"), "call_id", "left_semi").join(ahead, "need", "left")
+    top, steps = F.coalesce("top", "need").alias("top"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")
+    waits = several.select("call_id", top, steps).groupBy("call_id", "top").agg(F.max("steps").alias("steps"))
+    waits = stash(waits.withColumn("reach", F.lit(None).cast("int")), "waits")
+    last = stash(ids.join(needs, "call_id", "left_anti").withColumn("level", F.lit(0)), "levels")
     done = last
-    while count_of(left):
-        marked = left.join(last.select(F.col("call_id").alias("need"), F.lit(1).alias("met")), "need", "left")
-        waits = marked.groupBy("call_id").agg(F.count_if(F.col("met").isNull()).alias("open"))
-        level += 1
-        last = stash(waits.where("open = 0").select("call_id", F.lit(level).alias("level")), "levels")
+    while count_of(waits):
+        met = waits.join(last.select(F.col("call_id").alias("top"), "level"), "top", "left")
+        waits = stash(met.select("call_id", "top", "steps", F.coalesce("reach", F.col("level") + F.col("steps")).alias("reach")), "waits")
+        reached = waits.groupBy("call_id").agg(F.count_if(F.col("reach").isNull()).alias("open"), F.max("reach").alias("level"))
+        last = stash(reached.where("open = 0").select("call_id", "level"), "levels")
         if not count_of(last):
             break
         done = done.union(last)
-        left = stash(marked.where("met is null").select("call_id", "need"), "needs")
-    return done
+        waits = waits.join(last, "call_id", "left_anti")
+    above = jumps.join(done.select(F.col("call_id").alias("top"), "level"), "top")
+    return done.union(above.select("call_id", (F.col("level") + F.col("steps")).alias("level")))
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import random
 
 import duckdb
 
@@ -55,3 +56,23 @@ def test_links_levels_and_validation(spark):
     assert "unknown tool" in rows["z"].errors and "dependency cycle" in rows["p"].errors and "not an object" in rows["q"].errors
     assert rows["other"].errors == "result without call" and rows["other"].conv_id is None
     assert link_tool_calls(calls.limit(0), results.limit(0), schemas).count() == 0
+
+
+def brute_levels(needs):
+    levels, left = {}, dict(needs)
+    while ready := [k for k, n in left.items() if all(x in levels for x in n if x in needs)]:
+        for k in ready:
+            levels[k] = max((levels[x] + 1 for x in left.pop(k) if x in needs), default=0)
+    return levels
+
+
+def test_levels_of_chains_merges_and_cycles(spark):
+    rng = random.Random(5)
+    needs = {f"c{i}": {f"c{i - 1}"} if i else set() for i in range(40)}
+    needs |= {f"m{i}": {f"c{rng.randrange(40)}", f"m{i - 1}"} if i % 3 else {f"m{i - 1}"} for i in range(12)}
+    needs |= {f"r{i}": {f"r{rng.randrange(60)}" for _ in range(rng.choice([0, 1, 1, 2, 3]))} for i in range(40)}
+    needs |= {"loop1": {"loop3"}, "loop2": {"loop1"}, "loop3": {"loop2"}, "self": {"self"}, "after": {"self"}, "mixed": {"c3", "after"}, "fan": {"c0"}}
+    rows = [(k, sorted(n)) for k, n in needs.items()] + [("c9", ["c8", "c8", None]), (None, ["c1"]), ("c1", None)]
+    calls = spark.createDataFrame(rows, "call_id string, depends_on array<string>")
+    got = [(r.call_id, r.level) for r in chat_format._levels(calls).collect()]
+    assert len(got) == len(dict(got)) and dict(got) == brute_levels(needs)
