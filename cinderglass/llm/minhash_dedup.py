@@ -94,13 +94,13 @@ def _confirm(k: int, percent: int):
         seen_id, seen = None, None
         for batch in batches:
             kept: list[tuple[int, int]] = []
-            hubs = batch.column("text_a")
+            hubs, row = batch.column("text_a"), -1
             for piece in W.chunks(batch.select(["a", "b", "text"]), "text"):
                 ids = zip(piece.column("a").to_pylist(), piece.column("b").to_pylist(), strict=True)
                 for (a, b), other in zip(ids, shingle_sets(piece, k), strict=True):
+                    row += 1
                     if a != seen_id:
-                        at = batch.column("a").to_pylist().index(a)
-                        seen = next(shingle_sets(pa.RecordBatch.from_arrays([hubs.slice(at, 1)], names=["text"]), k))
+                        seen = next(shingle_sets(pa.RecordBatch.from_arrays([hubs.slice(row, 1)], names=["text"]), k))
                         seen_id = a
                     common = len(seen) + len(other) - len(np.unique(np.concatenate([seen, other])))
                     if 100 * common >= percent * (len(seen) + len(other) - common):
