@@ -28,3 +28,17 @@ def components(edges: DataFrame) -> DataFrame:
         labels = jumped.select("node", "component")
         if not moved:
             return labels
+
+
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``components`` of the links that gave ``labels`` and of ``edges(a, b)``, from these two alone.
+
+    Only links between labels are followed: after the first round of a search few are new.
+    """
+    at = {end: labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in")) for end in "ab"}
+    ends = edges.join(at["a"], "a", "left").join(at["b"], "b", "left").select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b"))
+    moved = components(ends)
+    lowered = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    kept = labels.join(lowered, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    fresh = moved.join(labels.select("node"), "node", "left_anti").select("node", "component")
+    return stash(kept.union(fresh), "labels")

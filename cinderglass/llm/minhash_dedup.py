@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderglass.llm import words as W
-from cinderglass.llm.graph import components
+from cinderglass.llm.graph import components, merged
 from cinderglass.llm.shared import count_of, stash, table
 
 BANDS, ROWS = 48, 5
@@ -141,9 +141,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     buckets = placed.groupBy("band", "bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("band", "bucket")
     shared = stash(placed.join(buckets, ["band", "bucket"]), "buckets")
     one_each = stash(texts.where("doc_id is not null").join(_broadcastable(shared.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
-    links = spark.createDataFrame([], "a long, b long")
-    tried = links
+    tried = spark.createDataFrame([], "a long, b long")
     grouped = shared.withColumn("component", F.col("rep"))
+    labels = None
     turn = 0
     while True:
         order = F.struct(F.lit(0), "rep") if not turn else F.struct(F.xxhash64("rep", "band", F.lit(turn)), "rep")
@@ -156,17 +156,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         found = stash(confirmed(new, one_each, k, percent), "links")
         if not count_of(found) and turn:
             break
-        links = links.union(found)
+        labels = merged(labels, found) if turn else components(found.union(twins))
         turn += 1
-        labels = components(links)
         grouped = stash(
             shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "band", "bucket", F.coalesce("component", "rep").alias("component")),
             "grouped",
         )
         mixed = grouped.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "bucket")
         grouped = stash(grouped.join(mixed, ["band", "bucket"]), "grouped")
-    linked = components(links.union(twins))
-    out = signed.select("doc_id", "n_shingles").join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    labels = components(twins) if labels is None else labels
+    out = signed.select("doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     label = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", label.alias("component_id"), F.coalesce(label == F.col("doc_id"), F.lit(False)).alias("kept"))
 
