@@ -9,8 +9,12 @@ texts.  Candidates are confirmed on the full shingle sets.
 Texts with the same set are one class from the start.  A link can hide behind a hub
 that is similar to neither end, so rounds follow, each with other hubs: buckets whose
 texts are still in different components get a new star over those, until a round
-adds no link.  With 48 bands of 5 bins a pair at similarity 0.8 shares no bucket with
-a chance of 5e-9.
+adds no link.  What is then still mixed gets an exact finish: a text's shingles are
+put in one order, rare ones first, and two texts with a link share one among the first
+few of each (prefix filter), so all pairs of different components that do are checked,
+except those that their sizes or the places of the shared shingle rule out.  With 48
+bands of 5 bins a pair at similarity 0.8 shares no bucket with a chance of 5e-9; none
+that shares one is lost.
 """
 
 from __future__ import annotations
@@ -29,6 +33,10 @@ from cinderglass.llm.shared import count_of, stash, table
 BANDS, ROWS = 48, 5
 #: Ids of candidates are broadcast to thin out the texts up to this many (8 bytes each).
 BROADCAST_IDS = 4_000_000
+#: Texts from which the finish learns which shingles are rare, and slots of its counts.
+RARE_SAMPLE, RARE_SLOTS = 50_000, 1 << 20
+#: Texts of one shingle that a task of the finish pairs with others at a time.
+BLOCK = 2_000
 
 _DONORS = np.argsort(np.random.Generator(np.random.PCG64(11)).random((BANDS * ROWS, BANDS * ROWS)), axis=1)
 
@@ -120,6 +128,59 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return both.select("a", "b", "text", "text_a").mapInArrow(_confirm(k, percent), "a long, b long")
 
 
+def _frequencies(k: int):
+    """Counts of shingles by slot, over a task's texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(RARE_SLOTS, np.int64)
+        for batch in batches:
+            for piece in W.chunks(batch, "text"):
+                for s in shingle_sets(piece, k):
+                    np.add.at(total, (s % np.uint64(RARE_SLOTS)).astype(np.int64), 1)
+        slots = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(total[slots])], names=["slot", "n"])
+
+    return run
+
+
+def _prefixes(k: int, percent: int, frequency: np.ndarray):
+    """Per text, the shingles of which one must be shared for a link: token and place.
+
+    Any order that is the same for all texts is right; rare first gives few pairs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in W.chunks(batch, "text"):
+                for i, s in enumerate(shingle_sets(piece, k)):
+                    n = len(s)
+                    long = n - (percent * n + 99) // 100 + 1
+                    token = s[np.lexsort((s, frequency[(s % np.uint64(RARE_SLOTS)).astype(np.int64)]))[:long]]
+                    same = lambda name: pa.array([piece.column(name)[i].as_py()] * len(token), pa.int64())  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), same("doc_id"), same("component"), pa.array(np.full(len(token), n)), pa.array(np.arange(len(token)))], names=["token", "cls", "component", "n", "at"])
+
+    return run
+
+
+def _finish(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Every pair ``a < b`` of ``texts(doc_id, component, text)`` that may be a link between components."""
+    total = count_of(texts)
+    sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total // RARE_SAMPLE))) == 0).select("text")
+    counted = sample.mapInArrow(_frequencies(k), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    frequency = np.zeros(RARE_SLOTS, np.int32)
+    frequency[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    rows = stash(texts.mapInArrow(_prefixes(k, percent, frequency), "token long, cls long, component long, n long, at long"), "prefixes")
+    hot = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("salts"))
+    rows = stash(rows.join(hot, "token"), "prefixes")
+    left = rows.withColumn("salt", F.pmod(F.xxhash64("cls"), "salts").cast("int")).alias("l")
+    right = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("r")
+    pairs = left.join(right, ["token", "salt"]).where("l.cls < r.cls and l.component <> r.component")
+    pairs = pairs.where(f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n)")
+    # Of the shingles a pair shares the first one passes: no more than what follows it can be shared.
+    pairs = pairs.where(f"{100 + percent} * least(l.n - l.at, r.n - r.at) >= {percent} * (l.n + r.n)")
+    return pairs.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: ``doc_id, n_shingles, component_id, kept``.
 
@@ -165,6 +226,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         mixed = grouped.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "bucket")
         grouped = stash(grouped.join(mixed, ["band", "bucket"]), "grouped")
     labels = components(twins) if labels is None else labels
+    left = stash(grouped.select(F.col("rep").alias("doc_id"), "component").distinct(), "mixed")
+    if count_of(left):
+        ends = _broadcastable(left)
+        pairs = _finish(stash(one_each.join(ends, "doc_id"), "mixed"), k, percent)
+        found = stash(confirmed(stash(pairs.join(tried, ["a", "b"], "left_anti"), "candidates"), one_each, k, percent), "links")
+        labels = merged(labels, found)
     out = signed.select("doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     label = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", label.alias("component_id"), F.coalesce(label == F.col("doc_id"), F.lit(False)).alias("kept"))

@@ -62,3 +62,14 @@ def test_odd_rows(spark):
     assert len(got) == 5
     assert {(r.doc_id, r.component_id, r.kept) for r in near_duplicates(df, k=4).collect()} == {(3, 3, True), (None, None, False), (5, 3, False), (6, 6, True)}
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_links_behind_a_shared_core(spark):
+    core, rows = [f"c{i}" for i in range(85)], []
+    for i in range(400):
+        own = [f"x{i}_{j}" for j in range(15)]
+        rows.append((i, " ".join(core + own)))
+    own[5] = own[10] = "y"
+    rows.append((3000, " ".join(core + own)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).where("component_id <> doc_id").collect()
+    assert [(r.doc_id, r.component_id) for r in got] == [(3000, 399)]
