@@ -20,8 +20,8 @@ from cinderglass.llm.shared import count_of, stash, table
 
 #: Hosts up to which their winning paths are broadcast.
 BROADCAST_HOSTS = 500_000
-#: Share of a container's text from which a child is taken instead of it.
-FOCUS = 0.6
+#: Share of a page's own content that its host's path must hold to be used on it.
+COVER = 0.95
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>?|<[!?][^>]*>?", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(\bhidden\b)")
@@ -29,6 +29,7 @@ _DIGITS = re.compile(r"\d+")
 _SPLIT = re.compile(r"[-_\s]+")
 
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
+_HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _BOX = {"html", "body", "article", "main", "section", "div", "td", "table", "tr", "tbody", "center"}
@@ -149,7 +150,7 @@ def blocks(page: str) -> tuple[list[tuple[str, int, _Node]], list[_Node]]:
 def _scored(page: str) -> tuple[list[tuple[str, int, _Node]], list[_Node]]:
     found, boxes = blocks(page)
     for text, linked, node in found:
-        worth = len(text) - linked
+        worth = len(text) if _HEADING.intersection(_tags(node)) else len(text) - linked
         while node:
             node.text += worth
             node = node.up
@@ -157,11 +158,14 @@ def _scored(page: str) -> tuple[list[tuple[str, int, _Node]], list[_Node]]:
 
 
 def best_path(page: str) -> str | None:
-    """Path of the page's best container: from the root, on to the child that holds most."""
-    _, boxes = _scored(page)
+    """Path of the page's best container: the lowest one that holds all headings and text outside links."""
+    return _lowest(_scored(page)[1])
+
+
+def _lowest(boxes: list[_Node]) -> str | None:
     best = boxes[0]
     while True:
-        inner = [b for b in boxes if b is not best and not b.drop and _parent_box(b) is best and b.text > 0 and b.text >= FOCUS * best.text]
+        inner = [b for b in boxes if b is not best and not b.drop and _parent_box(b) is best and b.text > 0 and b.text >= best.text]
         if not inner:
             return best.path or None
         best = max(inner, key=lambda b: b.text)
@@ -174,13 +178,30 @@ def _parent_box(node: _Node) -> _Node | None:
     return node
 
 
+def _tags(node: _Node | None) -> Iterator[str]:
+    while node:
+        yield node.tag
+        node = node.up
+
+
+def _held(found: list[tuple[str, int, _Node]], path: str) -> int:
+    """Characters outside links, and of headings, under a path."""
+    total = 0
+    for text, linked, node in found:
+        worth = len(text) if _HEADING.intersection(_tags(node)) else len(text) - linked
+        while node and node.path != path:
+            node = node.up
+        total += worth if node else 0
+    return total
+
+
 def extract(page: str | None, path: str | None) -> str:
     """Text of the page's containers with a path, or of its best container."""
     if not page:
         return ""
     found, boxes = _scored(page)
-    if not path or not any(b.path == path and b.text > 0 for b in boxes):
-        path = best_path(page)
+    if not path or _held(found, path) < COVER * _held(found, ""):
+        path = _lowest(boxes)
     keep = []
     for text, _, node in found:
         while node and node.path != (path or ""):

@@ -30,3 +30,12 @@ def test_other_templates(spark):
     for k in range(5):
         assert got[k] == f"First para of it & more words here.\n\nSecond para, long enough to count as text.\n\none\n\ntwo"
     assert (got[9], got[10], got[11], got[12]) == ("", "", "just text", "open")
+
+
+def test_keeps_title_intro_and_other_containers(spark):
+    page = "<html><body><article><h1>T</h1><div class=intro><p>{a}</p></div><div class=body><p>{b}</p></div></article><nav>menu</nav></body></html>"
+    other = "<html><body><div><article><p>short</p></article><div class=long><p>{b}</p></div></div></body></html>"
+    a, b = "intro word " * 3, "body word " * 9
+    rows = [(k, f"http://h.example/{k}", page.format(a=a, b=b)) for k in range(3)] + [(3, "http://h.example/3", other.format(b=b))]
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"T\n\n{a.strip()}\n\n{b.strip()}" for k in range(3)} | {3: f"short\n\n{b.strip()}"}
