@@ -22,13 +22,13 @@ class Boosted:
         binned = self._bin(x)
         rate = (y.sum() + 0.5) / (len(y) + 1)
         self.base = float(np.log(rate / (1 - rate)))
-        self.trees: list[list[tuple[int, int, float]]] = []
+        self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         total = np.full(len(y), self.base)
         for _ in range(self.rounds if 0 < y.sum() < len(y) else 0):
             p = _sigmoid(total)
             tree, leaf = self._grow(binned, y - p, p * (1 - p))
-            self.trees.append(tree)
-            total += np.array([v for _, _, v in tree])[leaf]
+            self.trees.append(tuple(np.array(c) for c in zip(*tree, strict=True)))
+            total += self.trees[-1][2][leaf]
         return self
 
     def _bin(self, x: np.ndarray) -> np.ndarray:
@@ -64,12 +64,12 @@ class Boosted:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         binned, total = self._bin(x), np.full(len(x), self.base)
-        for tree in self.trees:
-            feature, cut, value = (np.array(c) for c in zip(*tree, strict=True))
+        rows = np.arange(len(x))
+        for feature, cut, value in self.trees:
             node = np.zeros(len(x), int)
             for _ in range(self.depth):
                 f = feature[node]
-                node = np.where(f >= 0, 2 * node + 1 + (binned[np.arange(len(x)), np.maximum(f, 0)] > cut[node]), node)
+                node = np.where(f >= 0, 2 * node + 1 + (binned[rows, np.maximum(f, 0)] > cut[node]), node)
             total += value[node]
         return total
 

@@ -1,17 +1,24 @@
-"""Exact byte-level BPE of whole texts, with tree concatenation for long unsplit runs.
-
-The tokenizer first splits a text into pieces (a word with its space, a run of
-digits, ...) and merges bytes within each; pieces are looked up in a bounded memo and
-new ones go to the ``tokenizers`` library.  A piece that goes on for long is cut into
-leaves that are encoded side by side; neighbours are then joined pairwise up a tree.
-A join re-encodes a window around the seam and widens it until its first and last
-tokens are those that the two sides have there.  All adjacent tokens then lie inside
-one encoding, which for rank-ordered merges makes the joined sequence the encoding of
-the whole.
+"""Exact byte-level BPE of whole texts by tree concatenation.
+
+A long text is halved until its leaves are short.  The leaves of a batch are encoded
+side by side; neighbours are then joined pairwise up the tree.  A join encodes a window
+around the seam anew and widens it until both sides agree with it.
+
+There are two kinds of seams.  Between leaves of a text the window holds some of the
+tokenizer's pieces (a word with its space, a run of digits, ...) of either side.  It
+starts where a piece of the left side starts, so what it finds is right but for its last
+piece; where that one is the right side's own, the tokenizer stands at the same place in
+both, and the rest of the right side holds.  A piece that itself goes on for long has
+leaves of its own, and there the window holds tokens: when its first and last tokens are
+those of the two sides, all adjacent tokens lie inside one encoding, which for
+rank-ordered merges makes the joined sequence the encoding of the whole.
+
+Pieces are looked up in a bounded memo; new ones go to the ``tokenizers`` library's model.
 """
 
 from __future__ import annotations
 
+import codecs
 import functools
 import hashlib
 import re
@@ -23,15 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from cinderglass.llm import words as W
-from cinderglass.llm.shared import table
+from cinderglass.llm.shared import table, widened
 
-#: Pieces from this many characters on are cut into leaves of this size.
+#: Texts and pieces of more characters are cut into leaves of at most this size.
 LEAF_CHARS = 1024
+#: Characters of a text, and ids of one, that are held as Python objects at a time.
+BLOCK_CHARS = 1 << 20
 #: Pieces that are remembered; the memo starts anew beyond.
 MEMO = 800_000
 
 _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
-#: Texts of these characters are split here, others by the library.
+#: Leaves of these characters are split here, others by the library.
 _PLAIN = re.compile("[^\t\n\r -~ -ɏ]")
 _PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
 
@@ -61,9 +70,12 @@ class Codec:
         symbols = _byte_symbols()
         special = {i: t.content for i, t in self.tok.get_added_tokens_decoder().items()}
         self.special = {t: np.array([i], "<u4").tobytes() for i, t in special.items()}
+        self.marks = {t[0] for t in self.special}
+        self.joins = 0
         self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if special else None
         n = self.tok.get_vocab_size()
         self.bytes_of = [special[i].encode() if i in special else bytes(symbols[c] for c in self.tok.id_to_token(i)) for i in range(n)]
+        self.decimal = [b",%d" % i for i in range(n)]
         self.model = self.tok.model
         self.shown = {b: c for c, b in symbols.items()}
         self.memo: dict[str, bytes] = {}
@@ -76,10 +88,36 @@ class Codec:
             return _PIECES.findall(text)
         return [text[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(text)]
 
+    def split(self, text: str) -> list[str]:
+        """Pieces of a text, from those of its halves."""
+        if len(text) <= LEAF_CHARS:
+            return self.pieces(text)
+        level = [self.pieces(text[k : k + LEAF_CHARS]) for k in range(0, len(text), LEAF_CHARS)]
+        while len(level) > 1:
+            level = [self._meet(level[k], level[k + 1]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
+        return level[0]
+
+    def _meet(self, left: list[str], right: list[str]) -> list[str]:
+        """Pieces of two neighbours put together."""
+        self.joins += 1
+        width = 2
+        while True:
+            a, b = max(0, len(left) - width), min(len(right), width)
+            found = self.pieces("".join(left[a:] + right[:b]))
+            if b == len(right):
+                break
+            if len(found) > 1 and found[-1] == right[b - 1]:
+                break
+            width *= 2
+        del left[a:]
+        left += found
+        left += right[b:]
+        return left
+
     def _learn(self, fresh: set[str]) -> None:
         """Put the ids of new pieces into the memo, from the library's merges of their byte symbols."""
         for p in fresh:
-            if len(p) < LEAF_CHARS:
+            if len(p) <= LEAF_CHARS:
                 ids = [t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.shown))]
             else:
                 ids = self.long_piece(p)
@@ -106,25 +144,71 @@ class Codec:
                 return left[:a] + ids + right[b:]
             width *= 2
 
+    def parts(self, text: str) -> Iterator[list[str]]:
+        """Pieces and special tokens of a text, some ``BLOCK_CHARS`` of it at a time."""
+        for part in self.cut.split(text) if any(m in text for m in self.marks) else [text]:
+            if part in self.special:
+                yield [part]
+                continue
+            held: list[str] = []
+            for k in range(0, len(part), BLOCK_CHARS):
+                fresh = self.split(part[k : k + BLOCK_CHARS])
+                held = self._meet(held, fresh) if held else fresh
+                if k + BLOCK_CHARS < len(part):
+                    yield held[:-2]
+                    held = held[-2:]
+            yield held
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Per text, its ids as little-endian unsigned 32-bit integers; new pieces of all texts are learned at once."""
-        found: list[list[str]] = []
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        self.memo.update(self.special)
+        """Per text, its ids as little-endian unsigned 32-bit integers; new pieces of all short texts are learned at once."""
+        found: list[list[str] | None] = []
+        self._tidy()
         fresh: set[str] = set()
         for text in texts:
-            own: list[str] = []
-            for part in self.cut.split(text or "") if self.cut and text and "<" in text else [text or ""]:
-                own += [part] if part in self.special else self.pieces(part)
+            if len(text or "") > BLOCK_CHARS:
+                found.append(None)
+                continue
+            own = [p for part in self.parts(text or "") for p in part]
             fresh.update(own)
             found.append(own)
         self._learn(fresh.difference(self.memo))
-        for own in found:
+        for text, own in zip(texts, found, strict=True):
+            yield b"".join(map(self.memo.__getitem__, own)) if own is not None else b"".join(self._long_text(text))
+
+    def _long_text(self, text: str) -> Iterator[bytes]:
+        """Ids of a long text's parts; their pieces are remembered for one part only."""
+        for own in self.parts(text):
+            fresh = set(own).difference(self.memo)
+            self._learn(fresh)
             yield b"".join(map(self.memo.__getitem__, own))
+            for p in fresh:
+                del self.memo[p]
+
+    def _tidy(self) -> None:
+        """Start the memo anew when it is full."""
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        self.memo.update(self.special)
+
+    def decoded(self, ids: np.ndarray) -> Iterator[str]:
+        """The text of ids, in blocks."""
+        rest = codecs.getincrementaldecoder("utf-8")("replace")
+        for k in range(0, len(ids), BLOCK_CHARS):
+            yield rest.decode(b"".join(map(self.bytes_of.__getitem__, ids[k : k + BLOCK_CHARS].tolist())))
+        yield rest.decode(b"", True)
 
     def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        return "".join(self.decoded(ids))
+
+    def digests(self, ids: np.ndarray) -> tuple[str, str]:
+        """SHA-256 of the decimal ids joined by commas, and of the decoded text."""
+        first, second = hashlib.sha256(), hashlib.sha256()
+        for k in range(0, len(ids), BLOCK_CHARS):
+            shown = b"".join(map(self.decimal.__getitem__, ids[k : k + BLOCK_CHARS].tolist()))
+            first.update(shown if k else shown[1:])
+        for text in self.decoded(ids):
+            second.update(text.encode())
+        return first.hexdigest(), second.hexdigest()
 
 
 @functools.cache
@@ -136,19 +220,17 @@ def worker_codec(path: str) -> Codec:
 def _encode(path: str, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_codec(path)
-        decimal = [b",%d" % i for i in range(len(codec.bytes_of))]
         for batch in batches:
-            for piece in W.chunks(batch, "_text"):
+            for piece in W.chunks(batch, "text"):
                 counts, first, second = [], [], []
-                for raw in codec.encode(piece.column("_text").to_pylist()):
+                for raw in codec.encode(piece.column("text").to_pylist()):
                     ids = np.frombuffer(raw, "<u4")
-                    text = codec.decode(ids)
                     counts.append(len(ids))
-                    first.append(hashlib.sha256(b"".join(map(decimal.__getitem__, ids.tolist()))[1:]).hexdigest() if digests else ids.astype(np.int32))
-                    second.append(hashlib.sha256(text.encode()).hexdigest() if digests else text)
-                rest = [c for c in piece.schema.names if c != "_text"]
+                    a, b = codec.digests(ids) if digests else (ids.astype(np.int32), codec.decode(ids))
+                    first.append(a)
+                    second.append(b)
                 made = [pa.array(counts, pa.int64()), pa.array(first, pa.string() if digests else pa.list_(pa.int32())), pa.array(second, pa.string())]
-                yield pa.RecordBatch.from_arrays([*piece.select(rest).columns, *made], names=[*rest, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))])
+                yield pa.RecordBatch.from_arrays([*piece.columns, *made], names=[*piece.schema.names, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))])
 
     return run
 
@@ -163,10 +245,9 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None, digests: bool = Fal
     """
     names = ["n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])]
     rest = docs.drop(*names)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
     kinds = ["long", "string" if digests else "array<int>", "string"]
     made = ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True))
-    return rest.withColumn("_text", rest["text"]).mapInArrow(_encode(path or default_path(), digests), f"{fields}, {made}")
+    return rest.mapInArrow(_encode(path or default_path(), digests), widened(rest, made))
 
 
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

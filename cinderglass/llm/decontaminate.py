@@ -1,5 +1,7 @@
 """Benchmark decontamination with one Aho-Corasick automaton over normalised words.
 
+The benchmark is data of a bounded size: more than ``MOST_WORDS`` words are refused.
+
 Each distinct benchmark word is one symbol, every other word a common filler, so a
 text becomes a string with one symbol a word and the automaton scans it once; a
 match's place in that string is a word number, which maps back to the original text.
@@ -17,11 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderglass.llm import words as W
-from cinderglass.llm.shared import stash, table
+from cinderglass.llm.shared import table, widened
 
 WINDOW = 10
-#: Benchmark words in one automaton (some ten nodes each); more go through several.
-AUTOMATON_WORDS = 200_000
+#: Bound on the benchmark's words: the automaton has some ten nodes a word (about 0.5 kB).
+MOST_WORDS = 1_000_000
+#: Bytes of a text that are scanned at a time.
+SCAN_BYTES = 1 << 20
+#: Text that is held as Python strings at a time.
+PIECE_BYTES = 1 << 22
 
 _MAP = bytes(32 if W.NOT_ALNUM[W.LOWER[b]] else int(W.LOWER[b]) for b in range(256))
 _FILLER = "\0"
@@ -60,21 +66,39 @@ class Matcher:
         if windows:
             self.tree.make_automaton()
         self.empty = not windows
+        self.longest = max(map(len, windows), default=0)
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
         """Number of words, merged spans of words hit, and the items that occur."""
-        found = normal_words(text)
         spans: list[tuple[int, int]] = []
         items: set[str] = set()
-        if self.empty or not found:
-            return len(found), spans, items
-        for last, (size, owners) in self.tree.iter("".join(map(self.symbols.__getitem__, found))):
-            low, high = last + 1 - size, last + 1
-            while spans and spans[-1][1] >= low:
-                low = min(low, spans.pop()[0])
-            spans.append((low, high))
-            items.update(owners)
-        return len(found), spans, items
+        total, carried = 0, ""
+        for found in _word_blocks(text):
+            if not self.empty:
+                coded = carried + "".join(map(self.symbols.__getitem__, found))
+                base = total - len(carried)
+                for last, (size, owners) in self.tree.iter(coded):
+                    if last < len(carried):
+                        continue
+                    low, high = base + last + 1 - size, base + last + 1
+                    while spans and spans[-1][1] >= low:
+                        low = min(low, spans.pop()[0])
+                    spans.append((low, high))
+                    items.update(owners)
+                carried = coded[max(0, len(coded) - self.longest + 1) :] if self.longest > 1 else ""
+            total += len(found)
+        return total, spans, items
+
+
+def _word_blocks(text: str | None) -> Iterator[list[bytes]]:
+    """The words of a text, some ``SCAN_BYTES`` of it at a time; no word is cut."""
+    raw = (text or "").encode().translate(_MAP)
+    at = 0
+    while at < len(raw):
+        end = len(raw) if len(raw) - at <= SCAN_BYTES else raw.find(b" ", at + SCAN_BYTES)
+        end = len(raw) if end < 0 else end
+        yield raw[at:end].split()
+        at = end
 
 
 _SPANS = "spans array<struct<start: long, end: long>>"
@@ -88,40 +112,27 @@ def _chars(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(int(lead[split.start[a]]), int(lead[split.end[b - 1]])) for a, b in spans]
 
 
-def _scan(items: list[tuple[str | None, str | None]], window: int, sparse: bool):
-    """sparse: only texts that are hit."""
+def _scan(items: list[tuple[str | None, str | None]], window: int):
+    pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    named = lambda rows: pa.array([[{"start": a, "end": b} for a, b in x] for x in rows], pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(items, window)
         for batch in batches:
-            rest = [c for c in batch.schema.names if c != "_text"]
-            texts = batch.column("_text").to_pylist()
-            rows = [matcher.scan(t) for t in texts]
-            take = [i for i, r in enumerate(rows) if r[1] or not sparse]
-            made = [
-                pa.array([rows[i][0] for i in take], pa.int64()),
-                pa.array([[{"start": a, "end": b} for a, b in rows[i][1]] for i in take], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                pa.array([sorted(rows[i][2]) for i in take], pa.list_(pa.string())),
-                pa.array([[{"start": a, "end": b} for a, b in _chars(texts[i], rows[i][1])] if rows[i][1] else [] for i in take], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-            ]
-            kept = batch.select(rest).take(pa.array(take, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns, *made], names=[*rest, "n_words", "spans", "items", "offsets"])
+            for piece in W.chunks(batch, "text", PIECE_BYTES):
+                texts = piece.column("text").to_pylist()
+                rows = [matcher.scan(t) for t in texts]
+                made = [
+                    pa.array([r[0] for r in rows], pa.int64()),
+                    named([r[1] for r in rows]),
+                    pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string())),
+                    named([_chars(t, r[1]) if r[1] else [] for t, r in zip(texts, rows, strict=True)]),
+                ]
+                yield pa.RecordBatch.from_arrays([*piece.columns, *made], names=[*piece.schema.names, "n_words", "spans", "items", "offsets"])
 
     return run
 
 
-def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word counts and character offsets for texts whose spans are known."""
-    for batch in batches:
-        rest = [c for c in batch.schema.names if c not in ("_text", "spans", "items")]
-        texts, spans, items = (batch.column(c).to_pylist() for c in ("_text", "spans", "items"))
-        spans = [[(s["start"], s["end"]) for s in x or ()] for x in spans]
-        pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        named = lambda rows: pa.array([[{"start": a, "end": b} for a, b in x] for x in rows], pairs)
-        made = [pa.array([len(normal_words(t)) for t in texts], pa.int64()), named(spans), pa.array([x or [] for x in items], pa.list_(pa.string())), named([_chars(t, x) if x else [] for t, x in zip(texts, spans, strict=True)])]
-        yield pa.RecordBatch.from_arrays([*batch.select(rest).columns, *made], names=[*rest, "n_words", "spans", "items", "offsets"])
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Mark words of ``docs.text`` inside any window of a benchmark text.
 
@@ -130,37 +141,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     occurring windows, sorted as strings) and ``offsets`` (the spans as character
     offsets in the original text); input columns of these names are replaced.  Null
     texts have no words; items without words are ignored, an item without id marks
-    words only.
+    words only.  A benchmark of more than ``MOST_WORDS`` words raises an error.
     """
     own = ["n_words", "spans", "items", "offsets"]
     texts = benchmark.select(benchmark["item_id"].cast("string").alias("item_id"), benchmark["text"].alias("text"))
     size = texts.agg(F.sum(F.size(F.split("text", r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+")))).first()[0] or 0
-    blocks = -(-size // AUTOMATON_WORDS) or 1
+    if size > MOST_WORDS:
+        raise ValueError(f"a benchmark of {size} words is beyond the automaton's bound of {MOST_WORDS}")
+    items = [tuple(r) for r in texts.collect()]
     rest = docs.drop(*own)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
-    added = f"n_words long, {_SPANS}, items array<string>, offsets array<struct<start: long, end: long>>"
-    if blocks == 1:
-        items = [tuple(r) for r in texts.collect()]
-        return rest.withColumn("_text", rest["text"]).mapInArrow(_scan(items, window, False), f"{fields}, {added}")
-    keyed = rest.withColumn("_key", F.sha2(F.coalesce(rest["text"], F.lit("")), 256))
-    once = stash(keyed.select("_key", F.col("text").alias("_text")).dropDuplicates(["_key"]), "texts")
-    found = []
-    for k in range(blocks):
-        items = [tuple(r) for r in texts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
-        found.append(stash(once.mapInArrow(_scan(items, window, True), f"_key string, {added}"), "hits"))
-    hits = found[0]
-    for more in found[1:]:
-        hits = hits.unionByName(more)
-    merged = hits.groupBy("_key").agg(*(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("spans", "items")))
-
-    def union(c: str):
-        empty = F.lit(None).cast("array<struct<start: long, end: long>>")
-        last = lambda acc: F.element_at(acc, -1)
-        join = lambda acc, s: F.when(F.size(acc) == 0, F.array(s)).when(last(acc)["end"] >= s["start"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s)))
-        return F.aggregate(F.col(c), F.coalesce(empty, F.array().cast("array<struct<start: long, end: long>>")), join)
-
-    joined = keyed.withColumn("_text", F.col("text")).join(merged.select("_key", union("spans").alias("spans"), "items"), "_key", "left").drop("_key")
-    return joined.mapInArrow(_place, f"{fields}, {added}")
+    return rest.mapInArrow(_scan(items, window), widened(rest, f"n_words long, {_SPANS}, items array<string>, offsets array<struct<start: long, end: long>>"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 
 from cinderglass.llm import words as W
 from cinderglass.llm.boosting import Boosted, Isotonic, _sigmoid
-from cinderglass.llm.shared import stash, table
+from cinderglass.llm.shared import stash, table, widened
 
 #: Bound on labelled rows that the model is fitted on, and on entries of the lexicon.
 TRAIN_ROWS = 20_000
 LEXICON = 20_000
 FOLDS = 4
+#: Text whose lexicon candidates are counted at once.
+COUNT_BYTES = 1 << 21
 THRESHOLD = 0.7
 #: Word beginnings (in bytes) that are lexicon candidates beside whole words.
 STEMS = (4, 5, 6, 7, 8)
@@ -33,7 +35,10 @@ NEAR = 5
 
 #: Second-person words of the corpus languages.
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine euch ihr tu te toi ton ta vous votre tú ti tus usted ustedes vosotros".split()
-_MARKS = {"!": 0x21, "?": 0x3F}
+_KINDS = np.arange(256)
+_UPPER, _DIGIT = (_KINDS >= 65) & (_KINDS <= 90), (_KINDS >= 48) & (_KINDS <= 57)
+_MARK = W.NOT_ALNUM & ~W.SPACE & ~_UPPER
+_MARKS = [ord("!") == _KINDS, ord("?") == _KINDS]
 
 _LEET = W.LOWER.copy()
 for _from, _to in zip("013457@$", "oieastas", strict=True):
@@ -52,6 +57,13 @@ def _grams(split: W.Words, table: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _running(kind: np.ndarray, buf: np.ndarray) -> np.ndarray:
+    """How many of the bytes before each place, and before the end, are of a kind."""
+    out = np.zeros(len(buf) + 1, np.int32)
+    np.cumsum(kind[buf], dtype=np.int32, out=out[1:])
+    return out
+
+
 @dataclass
 class Lexicon:
     keys: np.ndarray  # sorted hashes
@@ -86,7 +98,6 @@ def features(piece: pa.RecordBatch, lexicons: list[Lexicon], which: np.ndarray |
         weight, weight2 = (np.choose(which[o], [x.weight(g) for x in lexicons]) for o, g in ((owner, grams), (owner2, grams2)))
     words = np.maximum(np.diff(split.first), 1)
     size = np.maximum(np.diff(split.text_at), 1)
-    text = np.repeat(np.arange(n), np.diff(split.text_at))
     per = lambda mask, o, values=None: np.bincount(o[mask], None if values is None else values[mask], n)
     hit, strong, hit2 = weight > 0.5, weight > 2.5, weight2 > 2.5
     you = _SECOND[np.minimum(np.searchsorted(_SECOND, grams[0]), len(_SECOND) - 1)] == grams[0]
@@ -95,20 +106,22 @@ def features(piece: pa.RecordBatch, lexicons: list[Lexicon], which: np.ndarray |
     near = beside[np.minimum(at + NEAR + 1, len(you))] - beside[np.maximum(at - NEAR, 0)] > 0
     most = np.zeros(n)
     np.maximum.at(most, owner[hit], weight[hit])
-    upper = (split.buf >= 65) & (split.buf <= 90)
-    mark = W.NOT_ALNUM[split.buf] & ~W.SPACE[split.buf] & ~upper
-    raised = np.append(0, np.cumsum(upper))
-    shouted = (raised[split.end] - raised[split.start] == split.end - split.start) & (split.end - split.start > 2)
-    digit = (split.buf >= 48) & (split.buf <= 57)
-    digits = np.append(0, np.cumsum(digit))
+    long = split.end - split.start
+    raised = _running(_UPPER, split.buf)
+    uppers = np.diff(raised[split.text_at])
+    shouted = (raised[split.end] - raised[split.start] == long) & (long > 2)
+    del raised
+    digits = _running(_DIGIT, split.buf)
     k = digits[split.end] - digits[split.start]
-    mixed = (k > 0) & (k < split.end - split.start)
-    single = split.end - split.start == 1
+    del digits
+    mixed = (k > 0) & (k < long)
+    single = long == 1
+    of = lambda kind: np.diff(_running(kind, split.buf)[split.text_at])
     shown2 = per(hit2, owner2) - per(strong, owner)
     return np.column_stack([
         per(strong, owner) / words, np.log1p(per(strong, owner)), per(hit, owner) / words, per(hit, owner, weight) / words, most,
-        per(strong & near, owner) / words, per(you, owner) / words, per(upper, text) / size, per(shouted, owner) / words,
-        per(mark, text) / size, *(per(split.buf == b, text) / size for b in _MARKS.values()), per(mixed, owner) / words,
+        per(strong & near, owner) / words, per(you, owner) / words, uppers / size, per(shouted, owner) / words,
+        of(_MARK) / size, *(of(kind) / size for kind in _MARKS), per(mixed, owner) / words,
         np.maximum(shown2, 0) / words, np.minimum(shown2, 3).clip(0), per(single, owner) / words, np.log1p(np.diff(split.first)),
     ])
 
@@ -116,16 +129,15 @@ def features(piece: pa.RecordBatch, lexicons: list[Lexicon], which: np.ndarray |
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per lexicon candidate, fold and label, how many texts of a batch have it."""
     for batch in batches:
-        for piece in W.chunks(batch, "text"):
+        for piece in W.chunks(batch, "text", COUNT_BYTES):
             split = W.split(piece.column("text"), W.NOT_ALNUM_ANY_CASE)
-            owner = split.owner()
             grams = np.concatenate(g := _grams(split, W.LOWER))
-            owner = np.tile(owner, len(g))
-            pairs = np.unique(np.stack([owner.astype(np.uint64), grams]), axis=1) if len(grams) else np.zeros((2, 0), np.uint64)
-            pairs = pairs[:, pairs[1] != 0]
-            at = pairs[0].astype(np.int64)
-            side = piece.column("fold").to_numpy()[at] * 2 + piece.column("toxic").to_numpy()[at]
-            keys, inverse = np.unique(pairs[1], return_inverse=True)
+            owner = np.tile(split.owner(), len(g))
+            owner, grams = owner[grams != 0], grams[grams != 0]
+            _, once = np.unique(W.mix(grams ^ W.mix(owner.astype(np.uint64) + np.uint64(1))), return_index=True)
+            owner, grams = owner[once], grams[once]
+            side = piece.column("fold").to_numpy()[owner] * 2 + piece.column("toxic").to_numpy()[owner]
+            keys, inverse = np.unique(grams, return_inverse=True)
             counts = np.zeros((len(keys), 2 * FOLDS), np.int64)
             np.add.at(counts, (inverse, side), 1)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(counts[:, j].copy()) for j in range(2 * FOLDS))], names=["gram", *(f"c{j}" for j in range(2 * FOLDS))])
@@ -145,21 +157,21 @@ class Model:
 
     def probability(self, piece: pa.RecordBatch) -> np.ndarray:
         raw = self.trees.score(features(piece, [self.lexicon]))
-        # the isotonic steps are flat; a little of the trees' own scale keeps their order
+        # the isotonic steps are flat; a fiftieth of the trees' own probability keeps their order
         return np.clip(0.98 * self.scale.value(raw) + 0.02 * _sigmoid(raw), 0.0, 1.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on labelled rows outside the held-out third (crc32 of the id mod 3 is 1).
 
-    At most ``TRAIN_ROWS`` rows, those with the smallest hash of their id.  Without
-    labelled rows, or with one class only, every text gets that class's share.
+    At most ``TRAIN_ROWS`` ids, those with the smallest hash; of several texts of an id
+    one is taken.  Without labelled rows, or with one class only, every text gets that class's share.
     """
     own = labels.where("doc_id is not null and toxic is not null").groupBy(labels["doc_id"].cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     own = own.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").join(F.broadcast(own), "doc_id")
     fold = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FOLDS)).cast("int")
-    rows = stash(rows.withColumn("fold", fold), "labelled")
+    rows = stash(rows.groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).withColumn("fold", fold), "labelled")
     names = [f"c{j}" for j in range(2 * FOLDS)]
     counts = rows.mapInArrow(_count, "gram long, " + ", ".join(f"{c} long" for c in names)).groupBy("gram").agg(*(F.sum(c).alias(c) for c in names))
     toxic = sum((F.col(c) for c in names[1::2]), F.lit(0))
@@ -216,8 +228,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     """
     model = fit(docs, labels)
     rest = docs.drop("score", "predicted", "held_out")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
-    scored = rest.mapInArrow(_score(model), f"{fields}, score double")
+    scored = rest.mapInArrow(_score(model), widened(rest, "score double"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     return scored.withColumns({"held_out": held, "predicted": (F.col("score") >= threshold).cast("int")})
 

@@ -14,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 21
+#: Text that is worked on at once, and bytes whose powers a hash uses at once.
+CHUNK_BYTES = 1 << 19
+HASH_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -48,6 +50,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+def _long_sum(codes: np.ndarray, buf: np.ndarray) -> np.uint64:
+    """The sum that ``Words.hashes`` forms of a word's bytes, a block at a time."""
+    total, mask = 0, (1 << 64) - 1
+    for at in range(0, len(buf), HASH_BYTES):
+        block = buf[at : at + HASH_BYTES]
+        total += int((codes[block] * _powers(len(block))[0][: len(block)]).sum()) * pow(int(_PRIME), at, 1 << 64)
+    return np.uint64(total & mask)
+
+
 @dataclass
 class Words:
     """Words of some consecutive texts of a batch."""
@@ -59,14 +70,31 @@ class Words:
     first: np.ndarray  # per text, index of its first word; one more at the end
 
     def hashes(self, table: np.ndarray | None = None, longest: int | None = None) -> np.ndarray:
-        """A 64-bit hash of each word's (first ``longest``) bytes, after mapping bytes by ``table``."""
-        buf = self.buf if table is None else table[self.buf]
-        up, down = _powers(len(buf) + 1)
-        sums = np.empty(len(buf) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(_BYTES[buf] * up[: len(buf)], out=sums[1:])
-        end = self.end if longest is None else np.minimum(self.end, self.start + longest)
-        return mix((sums[end] - sums[self.start]) * down[self.start])
+        """A 64-bit hash of each word's (first ``longest``) bytes, after mapping bytes by ``table``.
+
+        Words are taken ``HASH_BYTES`` of text at a time, a longer word by itself.
+        """
+        codes = _BYTES if table is None else _BYTES[table]
+        out = np.empty(len(self.start), np.uint64)
+        low = 0
+        while low < len(out):
+            base = int(self.start[low])
+            high = int(np.searchsorted(self.end, base + HASH_BYTES, "right"))
+            if high <= low:
+                size = int(self.end[low]) - base
+                out[low] = _long_sum(codes, self.buf[base : base + min(size, longest or size)])
+                low += 1
+                continue
+            buf = self.buf[base : self.end[high - 1]]
+            up, down = _powers(len(buf) + 1)
+            sums = np.empty(len(buf) + 1, np.uint64)
+            sums[0] = 0
+            np.cumsum(codes[buf] * up[: len(buf)], out=sums[1:])
+            start, end = self.start[low:high] - base, self.end[low:high] - base
+            end = end if longest is None else np.minimum(end, start + longest)
+            out[low:high] = (sums[end] - sums[start]) * down[start]
+            low = high
+        return mix(out)
 
     def owner(self) -> np.ndarray:
         """Per word, the index of its text."""

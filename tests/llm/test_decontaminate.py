@@ -1,4 +1,5 @@
 import duckdb
+import pytest
 
 from cinderglass.llm import decontaminate as module
 from cinderglass.llm.decontaminate import ORACLE, decontaminate, op8_decontaminate
@@ -24,9 +25,23 @@ def test_spans_blocks_and_odd_rows(spark, monkeypatch):
     a, b = small[0].offsets[0]
     assert body[a:b] == body[5:]
     assert [len(r.spans) for r in small] == [1, 1, 0, 0, 0]
-    monkeypatch.setattr(module, "AUTOMATON_WORDS", 5)
-    large = decontaminate(docs, bench).orderBy("doc_id").collect()
-    key = lambda r: (r.doc_id, r.n_words, r.spans, r["items"], r.offsets)
-    assert list(map(key, large)) == list(map(key, small))
+    monkeypatch.setattr(module, "MOST_WORDS", 5)
+    with pytest.raises(ValueError):
+        decontaminate(docs, bench)
+    monkeypatch.undo()
     assert decontaminate(docs.limit(0), bench).count() == 0
     assert decontaminate(docs, bench.limit(0)).where("size(spans) > 0").count() == 0
+
+
+def test_blocks_of_a_text_change_nothing(monkeypatch):
+    from random import Random
+
+    rng = Random(2)
+    words = [f"w{i}" for i in range(6)]
+    matcher = module.Matcher([(str(k), " ".join(rng.choice(words) for _ in range(rng.randrange(1, 14)))) for k in range(30)], 10)
+    for _ in range(60):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(200)))
+        whole = matcher.scan(text)
+        monkeypatch.setattr(module, "SCAN_BYTES", rng.randrange(1, 60))
+        assert matcher.scan(text) == whole
+        monkeypatch.undo()

@@ -34,6 +34,22 @@ def test_encoding_is_the_librarys(codec):
         assert codec.decode(got) == tok.decode(want, skip_special_tokens=False)
 
 
+def test_real_texts_go_through_joins(codec, monkeypatch):
+    import duckdb
+
+    tok = Tokenizer.from_file(default_path())
+    texts = [t for (t,) in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet' order by doc_id").fetchall()]
+    before = codec.joins
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(texts)] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert codec.joins - before >= sum(max(0, -(-len(t) // 1024) - 1) for t in texts) > 1000
+    from cinderglass.llm import bpe
+
+    monkeypatch.setattr(bpe, "LEAF_CHARS", 7)
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 40)
+    for text in [*odd_texts()[:40], *texts[:60]]:
+        assert np.frombuffer(next(codec.encode([text])), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_whole_table(spark):
     tok = Tokenizer.from_file(default_path())
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
