@@ -16,17 +16,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderglass.llm.shared import count_of, stash, table
+from cinderglass.llm import words as W
+from cinderglass.llm.shared import stash, table, unused, widened
 
-#: Hosts up to which their winning paths are broadcast.
-BROADCAST_HOSTS = 500_000
+#: Winning paths are broadcast up to this many bytes, else joined.
+BROADCAST_BYTES = 32 << 20
+#: Pages that are held as Python objects at a time, in bytes.
+PIECE_BYTES = 1 << 20
 #: Share of a page's own content that its host's path must hold to be used on it.
 COVER = 0.95
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>?|<[!?][^>]*>?", re.S)
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(\bhidden\b)")
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _DIGITS = re.compile(r"\d+")
-_SPLIT = re.compile(r"[-_\s]+")
+_SPLIT = re.compile(r"[-_]+")
 
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
 _HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -38,50 +42,114 @@ _DROP_NAMES = set(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
 )
 _DROP_ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "dialog", "alert", "form", "menu"}
+#: Parts of a class name that say an element is beside, or lacks, what the rest names.
+_MODIFIERS = set("has no not with without is show hide off free less".split())
 #: A start tag on the left ends an open element on the right.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _P_ENDS = _BLOCK - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot"}
 
 
+#: Between the steps of a path; no class name holds it.
+_STEP = "\x1f"
+
+
 class _Node:
-    __slots__ = ("tag", "path", "drop", "up", "box", "text")
+    """An element.  ``path`` numbers its path within the page, ``box`` is the nearest container above."""
 
-    def __init__(self, tag: str, path: str, drop: bool, up: _Node | None, box: bool):
-        self.tag, self.path, self.drop, self.up, self.box, self.text = tag, path, drop, up, box, 0
+    __slots__ = ("tag", "path", "step", "drop", "up", "box", "above", "in_article", "in_heading", "text", "heavy", "held")
 
+    def __init__(self, tag: str, step: str, path: int, drop: bool, up: _Node | None):
+        self.tag, self.step, self.path, self.drop, self.up, self.box, self.text, self.heavy, self.held = tag, step, path, drop, up, tag in _BOX or up is None, 0, None, False
+        self.above = None if up is None else up if up.box else up.above
+        self.in_article = tag == "article" or up is not None and up.in_article
+        self.in_heading = tag in _HEADING or up is not None and up.in_heading
 
-def _open(tag: str, attrs: str, up: _Node | None) -> _Node:
-    names, drop = "", bool(up and up.drop) or tag in _DROP_TAGS
-    if attrs:
-        for m in _ATTR.finditer(attrs):
-            if m[5]:
-                drop = True
-                continue
-            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if key in ("class", "id"):
-                names += "." + ".".join(sorted(_DIGITS.sub("#", value.lower()).split()))
-                if tag not in ("body", "html", "article", "main") and _DROP_NAMES.intersection(_SPLIT.split(value.lower())):
-                    drop = True
-            elif key == "role" and value.lower() in _DROP_ROLES or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                drop = True
-    if tag == "header" and not _inside(up, "article"):
-        drop = True
-    return _Node(tag, f"{up.path if up else ''}/{tag}{names}", drop, up, tag in _BOX)
+    def shown(self) -> str:
+        """The path in full: tags and generalised classes from the root down."""
+        steps, node = [], self
+        while node.up:
+            steps.append(node.step)
+            node = node.up
+        return _STEP.join(reversed(steps))
 
 
-def _inside(node: _Node | None, tag: str) -> bool:
-    while node:
-        if node.tag == tag:
+def _names_boilerplate(value: str) -> bool:
+    """Whether a class or id value has a name that begins or ends with a word for boilerplate."""
+    for name in value.lower().split():
+        words = _SPLIT.split(name)
+        if _DROP_NAMES.intersection((words[0], words[-1])) and not _MODIFIERS.intersection((words[0], words[-1])):
             return True
-        node = node.up
     return False
 
 
-def blocks(page: str) -> tuple[list[tuple[str, int, _Node]], list[_Node]]:
-    """Text blocks of a page with their link characters and element, and its containers."""
-    out: list[tuple[str, int, _Node]] = []
-    root = _Node("", "", False, None, True)
-    stack, boxes, held, linked = [root], [root], [], 0
+class _Page:
+    """Text blocks with their link characters and element, and all elements in page order.
+
+    ``named`` are the elements dropped for their class or id alone, ``lost`` the text in
+    them; elements whose number is in ``spared`` are not dropped for it.
+    """
+
+    def __init__(self, spared: set[int]):
+        self.spared, self.named, self.lost, self.bodies, self.own_body = spared, {}, 0, [], False
+        self.paths: dict[tuple[int, str], int] = {}
+        self.nodes = [_Node("", "", 0, False, None)]
+        self.blocks: list[tuple[str, int, _Node]] = []
+
+    def open(self, tag: str, attrs: str, up: _Node) -> _Node:
+        step, drop, named = tag, up.drop or tag in _DROP_TAGS or tag == "header" and not up.in_article, False
+        for m in _ATTR.finditer(attrs or ""):
+            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if key in ("class", "id"):
+                step += "." + ".".join(sorted(_DIGITS.sub("#", value.lower()).split()))
+                named = named or tag not in ("body", "html", "article", "main") and _names_boilerplate(value)
+            elif key == "hidden" or key == "role" and value.lower() in _DROP_ROLES or key == "aria-hidden" and value.lower() == "true" or key == "style" and _UNSEEN.search(value):
+                drop = True
+        named = named and not drop and len(self.nodes) not in self.spared
+        node = _Node(tag, step, self.paths.setdefault((up.path, step), len(self.paths) + 1), drop or named, up)
+        if named:
+            self.named[node] = len(self.nodes)
+        if tag in ("article", "main"):
+            self.bodies.append(node)
+            self.own_body |= not node.drop
+        self.nodes.append(node)
+        return node
+
+    def number(self, path: str) -> int | None:
+        """The number of a path given in full, or None if the page does not have it."""
+        at = 0
+        for step in path.split(_STEP):
+            at = self.paths.get((at, step))
+            if at is None:
+                return None
+        return at
+
+
+def blocks(page: str) -> _Page:
+    """Read a page; again, where class names would drop its only article or all of its text."""
+    read, spared = _read(page, set()), set()
+    while read.named and (read.bodies and not read.own_body or not read.blocks and read.lost):
+        tops = set()
+        for node in read.bodies if read.bodies and not read.own_body else read.named:
+            while node and node not in read.named:
+                node = node.up
+            tops.update([read.named[node]] if node else [])
+        if not tops:
+            break
+        spared |= tops
+        read = _read(page, spared)
+    return read
+
+
+def _read(page: str, spared: set[int]) -> _Page:
+    read = _Page(spared)
+    out, root = read.blocks, read.nodes[0]
+    stack, held, linked = [root], [], 0
+    count: dict[str, int] = {}
+
+    def leave(k: int) -> None:
+        for n in stack[k:]:
+            count[n.tag] -= 1
+        del stack[k:]
 
     def close() -> None:
         nonlocal linked
@@ -94,7 +162,9 @@ def blocks(page: str) -> tuple[list[tuple[str, int, _Node]], list[_Node]]:
 
     def add(raw: str) -> None:
         nonlocal linked
-        if raw and not stack[-1].drop:
+        if stack[-1].drop:
+            read.lost += not raw.isspace()
+        elif raw:
             text = html.unescape(raw) if "&" in raw else raw
             held.append(text)
             if any(n.tag == "a" for n in stack[-4:]):
@@ -113,11 +183,15 @@ def blocks(page: str) -> tuple[list[tuple[str, int, _Node]], list[_Node]]:
         if not tag:
             continue
         if m[1]:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
             if tag in _BLOCK:
                 close()
-            if k and not (tag not in _BLOCK and any(n.tag in _BLOCK for n in stack[k + 1 :])):
-                del stack[k:]
+            if count.get(tag):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == tag:
+                        leave(k)
+                        break
+                    if tag not in _BLOCK and stack[k].tag in _BLOCK:
+                        break
             continue
         if tag == "br":
             if held:
@@ -132,66 +206,51 @@ def blocks(page: str) -> tuple[list[tuple[str, int, _Node]], list[_Node]]:
             ends = _ENDS.get(tag, set()) | ({"p"} if tag in _P_ENDS else set())
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in ends:
-                    del stack[i:]
+                    leave(i)
                     break
                 if stack[i].box or stack[i].tag in ("ul", "ol", "dl", "table"):
                     break
         if tag in _VOID:
             continue
-        node = _open(tag, m[3], stack[-1])
-        if node.box:
-            boxes.append(node)
         if not (m[3] or "").rstrip().endswith("/") or tag in _BLOCK:
-            stack.append(node)
+            stack.append(read.open(tag, m[3], stack[-1]))
+            count[tag] = count.get(tag, 0) + 1
     close()
-    return out, boxes
+    return read
 
 
-def _scored(page: str) -> tuple[list[tuple[str, int, _Node]], list[_Node]]:
-    found, boxes = blocks(page)
-    for text, linked, node in found:
-        worth = len(text) if _HEADING.intersection(_tags(node)) else len(text) - linked
-        while node:
-            node.text += worth
-            node = node.up
-    return found, boxes
+def _scored(page: str) -> _Page:
+    """A page whose elements know how much text outside links, and of headings, they hold."""
+    read = blocks(page)
+    for text, linked, node in read.blocks:
+        node.text += len(text) if node.in_heading else len(text) - linked
+    for node in reversed(read.nodes[1:]):
+        node.up.text += node.text
+    return read
 
 
 def best_path(page: str) -> str | None:
     """Path of the page's best container: the lowest one that holds all headings and text outside links."""
-    return _lowest(_scored(page)[1])
-
-
-def _lowest(boxes: list[_Node]) -> str | None:
-    best = boxes[0]
-    while True:
-        inner = [b for b in boxes if b is not best and not b.drop and _parent_box(b) is best and b.text > 0 and b.text >= best.text]
-        if not inner:
-            return best.path or None
-        best = max(inner, key=lambda b: b.text)
+    return _lowest(_scored(page)).shown() or None
 
 
-def _parent_box(node: _Node) -> _Node | None:
-    node = node.up
-    while node and not node.box:
-        node = node.up
-    return node
+def _lowest(read: _Page) -> _Node:
+    for node in read.nodes[1:]:
+        if node.box and not node.drop and node.text > 0 and node.text >= node.above.text and node.above.heavy is None:
+            node.above.heavy = node
+    best = read.nodes[0]
+    while best.heavy:
+        best = best.heavy
+    return best
 
 
-def _tags(node: _Node | None) -> Iterator[str]:
-    while node:
-        yield node.tag
-        node = node.up
-
-
-def _held(found: list[tuple[str, int, _Node]], path: str) -> int:
-    """Characters outside links, and of headings, under a path."""
+def _hold(read: _Page, path: int) -> int:
+    """Mark what is under a path; characters outside links, and of headings, there."""
     total = 0
-    for text, linked, node in found:
-        worth = len(text) if _HEADING.intersection(_tags(node)) else len(text) - linked
-        while node and node.path != path:
-            node = node.up
-        total += worth if node else 0
+    for node in read.nodes:
+        inside = node.up is not None and node.up.held
+        node.held = inside or node.path == path
+        total += node.text if node.held and not inside else 0
     return total
 
 
@@ -199,29 +258,29 @@ def extract(page: str | None, path: str | None) -> str:
     """Text of the page's containers with a path, or of its best container."""
     if not page:
         return ""
-    found, boxes = _scored(page)
-    if not path or _held(found, path) < COVER * _held(found, ""):
-        path = _lowest(boxes)
-    keep = []
-    for text, _, node in found:
-        while node and node.path != (path or ""):
-            node = node.up
-        if node:
-            keep.append(text)
-    return "\n\n".join(keep)
+    read = _scored(page)
+    at = read.number(path) if path else None
+    if at is None or _hold(read, at) < COVER * read.nodes[0].text:
+        _hold(read, _lowest(read).path)
+    return "\n\n".join(text for text, _, node in read.blocks if node.held)
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        paths = [best_path(p) if p else None for p in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.string())], names=["host", "path"])
+        for piece in W.chunks(batch, "html", PIECE_BYTES):
+            paths = [best_path(p) if p else None for p in piece.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([piece.column("host"), pa.array(paths, pa.string())], names=["host", "path"])
 
 
-def _take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rest = [c for c in batch.schema.names if c not in ("_html", "_path")]
-        texts = [extract(p, w) for p, w in zip(batch.column("_html").to_pylist(), batch.column("_path").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.select(rest).columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*rest, "text", "n_chars"])
+def _take(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = [c for c in batch.schema.names if c != path]
+            for piece in W.chunks(batch, "html", PIECE_BYTES):
+                texts = [extract(p, w) for p, w in zip(piece.column("html").to_pylist(), piece.column(path).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*piece.select(rest).columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*rest, "text", "n_chars"])
+
+    return run
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -234,12 +293,13 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     votes = pages.select(host.alias("host"), "html").mapInArrow(_vote, "host string, path string")
     counted = votes.where("path is not null").groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"))
-    won = stash(counted.groupBy("host").agg(F.max(F.struct("votes", F.length("path").alias("long"), "path")).alias("best")).select(F.col("host").alias("_host"), F.col("best.path").alias("_path")), "paths")
+    best = counted.groupBy("host").agg(F.max(F.struct("votes", F.length("path").alias("long"), "path")).alias("best"))
     rest = pages.drop("text", "n_chars")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
-    keyed = rest.withColumns({"_html": F.col("html"), "_host": host})
-    joined = keyed.join(F.broadcast(won) if count_of(won) <= BROADCAST_HOSTS else won, "_host", "left").drop("_host")
-    return joined.mapInArrow(_take, f"{fields}, text string, n_chars long")
+    key, path = unused(rest, "host"), unused(rest, "path")
+    won = stash(best.select(F.col("host").alias(key), F.col("best.path").alias(path)), "paths")
+    volume = won.agg(F.sum(F.octet_length(key) + F.octet_length(path) + 64)).first()[0] or 0
+    joined = rest.withColumn(key, host).join(F.broadcast(won) if volume <= BROADCAST_BYTES else won, key, "left").drop(key)
+    return joined.mapInArrow(_take(path), widened(rest, "text string, n_chars long"))
 
 
 def op7_extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
