@@ -104,8 +104,12 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> Data
     first = results.groupBy("call_id").agg(F.min(F.struct("result_turn", "content")).alias("first"), F.count(F.lit(1)).alias("n_results"))
     levels = _levels(calls)
     args = F.try_parse_json("arguments")
-    own = calls.select("conv_id", "turn", "call_id", "name", args.alias("args"), F.lit(True).alias("called")).join(levels, "call_id", "left")
-    linked = own.hint("shuffle_hash").join(first, "call_id", "full_outer")
+    own = calls.select("conv_id", "turn", "call_id", "name", args.alias("args"), F.lit(True).alias("called"))
+    # neither calls without id nor a full outer join could be split, were there very many of one key
+    named = own.where("call_id is not null")
+    met = named.join(levels, "call_id", "left").join(first.where("call_id is not null").hint("shuffle_hash"), "call_id", "left")
+    alone = first.join(named.select("call_id").distinct(), "call_id", "left_anti")
+    linked = met.unionByName(own.where("call_id is null"), allowMissingColumns=True).unionByName(alone, allowMissingColumns=True)
     more = F.array_compact(
         F.array(
             F.when(F.col("called").isNull(), F.lit("result without call")),
