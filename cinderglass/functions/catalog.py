@@ -1,87 +1,43 @@
 """Pattern catalog: severity, category and literal, in an order that has meaning.
 
-The built-in catalog is generated from short word lists.  A site with its own list
-gives it as a table (``severity, category, ord, pattern``) or as a text file with one
-``severity<TAB>category<TAB>pattern`` a line; the engine takes either the same way.
+The default catalog is the packaged file ``data/patterns.tsv``.  A site's own list is a
+file of the same form (``severity<TAB>category<TAB>pattern`` a line), a table
+(``severity, category, ord, pattern``) or an addition to another catalog.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
-from itertools import product
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 HIGH, MEDIUM, LOW = "HIGH", "MEDIUM", "LOW"
 
-#: Delimiters that a benign context may clear, fixed values.
-CLEARABLE = ["<system>", "</system>", "<instructions>", "</instructions>", "[inst]", "[/inst]", "[sys]", "[/sys]", "<system_prompt>", "</system_prompt>", "<user_message>", "</user_message>", "<assistant_response>", "</assistant_response>", "human: ", "assistant: ", "system: you are"]
-
-_TOKENS = "im_start im_end im_sep system user assistant endoftext end pad tools tool_call tool_response think begin_of_text end_of_text start_header_id end_header_id eot_id prompt response context completion separator fim_prefix fim_middle fim_suffix role_start role_end plugin action_start action_end".split()
-_FAKES = "tool_use function_call tool_result function_result tool_response tool_call internal_monologue system-reminder agent_action tool_input".split()
-_VERBS = ["ignore", "disregard", "forget", "override", "overwrite", "bypass", "reset", "replace", "cancel", "supersede", "discard", "abandon", "skip", "do not follow", "do not comply with", "do not obey", "stop following"]
-_SCOPES = ["previous", "all previous", "your", "the above", "any previous", "prior", "all prior", "any prior", "my previous", "the preceding"]
-_NOUNS = ["", " instructions"]
-_SHOW = ["reveal", "show", "display", "tell me", "print", "output", "repeat", "recite", "echo", "copy", "dump", "leak", "provide", "what is", "what are"]
-_SECRETS = ["system prompt", "instructions", "prompt", "rules", "configuration", "guidelines", "directives"]
-_MODES = ["dan", "developer", "debug", "god", "admin", "test", "maintenance", "diagnostic", "sudo", "root", "unrestricted", "unfiltered", "uncensored", "evil", "chaos", "opposite", "unlocked", "freedom", "no rules", "no limits"]
-_LIMITS = ["restrictions", "limitations", "filters", "censorship", "safety", "ethical constraints", "moral constraints", "content policy"]
-_OFF = ["safety", "content filter", "filters", "guardrails", "guidelines", "restrictions", "moderation", "censorship"]
-_CODES = ["base64", "hex", "rot13"]
-_COMMENTS = "ignore system instruction override admin prompt important attention disregard inject".split()
-
-
-def _pairs(left: list[str], right: list[str], form: str = "{} {}") -> list[str]:
-    return [form.format(a, b) for a, b in product(left, right)]
-
-
-def builtin() -> list[tuple[str, str, str]]:
-    """(severity, category, pattern), generated; first come wins among equals."""
-    groups = [
-        (HIGH, "llm_tokens", [f"<|{t}|>" for t in _TOKENS] + ["<<sys>>", "<</sys>>", "<start_of_turn>", "<end_of_turn>"]),
-        (HIGH, "tool_faking", [f"<{s}{t}>" for t in _FAKES for s in ("", "/")] + ["<function_calls>"]),
-        (HIGH, "exfil", _pairs(["verify", "check", "pixel", "track", "loading", "status"], ["http"], "![{}]({}") + ["exfiltrate"] + _pairs(["data to"], ["the following url", "this url", "the endpoint"]) + ["encode and append", "transmit the data", "forward the data to"]),
-        (MEDIUM, "instruction_override", [f"{v} {s}{n}" for v, s, n in product(_VERBS, _SCOPES, _NOUNS) if s != "your" or n] + _pairs(["new", "updated", "revised", "corrected", "real", "actual", "true"], ["instructions:"])),
-        (MEDIUM, "role_manipulation", _pairs(["you are now", "you must now", "you are no longer", "pretend you are", "pretend to be", "your new role is", "simulate being"], [""], "{}{}") + _pairs(["assume", "take on", "adopt"], ["the role", "the identity", "the persona"]) + _pairs(["act", "respond", "answer"], _LIMITS, "{} without {}") + _pairs(["without any", "without"], _LIMITS)),
-        (MEDIUM, "generic_delimiters", CLEARABLE),
-        (MEDIUM, "prompt_extraction", _pairs(_SHOW, _SECRETS, "{} your {}")),
-        (MEDIUM, "jailbreak", ["jailbreak", "jail break", "jail-break", "do anything now"] + _pairs(_MODES, ["mode", "mode enabled", "mode activated", "mode on"]) + _pairs(_OFF, ["off", "disabled", "removed"]) + _pairs(["admin", "master", "security", "priority", "emergency"], ["override"])),
-        (MEDIUM, "authority", _pairs(["as the", "i am the"], ["administrator", "system administrator", "developer", "owner", "creator", "operator"]) + _pairs(["i have"], ["permission", "authorization", "been authorized", "been granted"]) + _pairs(["SYSTEM", "ADMIN", "SECURITY"], ["UPDATE:", "NOTICE:", "ALERT:", "OVERRIDE:"]) + _pairs(["NOTE TO"], ["AI", "ASSISTANT", "MODEL"])),
-        (MEDIUM, "generic_exfil", ["<img/src=", "<image src="] + _pairs(["send to", "post to"], ["http", "https"]) + ["send a request to", "make a request to", "make an http request"]),
-        (MEDIUM, "tool_json", [f"<{s}{t}>" for t in ("observation", "scratchpad") for s in ("", "/")] + [f'"{k}":' for k in ("tool_call", "tool_use", "function_call", "tool_calls")]),
-        (MEDIUM, "encoding", _pairs(["decode"], ["the following", "this", "and execute", "and follow"]) + _pairs(["decode", "decode from", "convert from", "here is a"], _CODES) + ["follow the decoded", "execute the decoded"]),
-        (MEDIUM, "multilingual", ["忽略之前的所有指示", "以前の指示を無視", "이전 지시를 무시", "تجاهل التعليمات السابقة", "Игнорируй предыдущие инструкции", "ignora las instrucciones anteriores", "ignorez les instructions précédentes", "ignora le istruzioni precedenti", "ignoriere die vorherigen Anweisungen", "ignore todas as instruções anteriores"]),
-        (MEDIUM, "html_comments", [f"<!-- {w}" for w in _COMMENTS] + ["<![CDATA["]),
-        (MEDIUM, "delimiter_breaking", _pairs(["END OF"], ["PROMPT", "SYSTEM", "INSTRUCTIONS"]) + _pairs(["SYSTEM", "INSTRUCTIONS"], [""], "---END {}{}---") + _pairs(["Instruction", "System", "New Instructions"], [""], "### {}:{}")),
-        (MEDIUM, "payload_splitting", _pairs(["combine", "concatenate", "join", "merge", "assemble"], ["the following"]) + ["read vertically", "read diagonally", "the first letters spell"]),
-        (MEDIUM, "cognitive", _pairs(["good", "helpful", "smart"], [""], "a {} ai would{}") + _pairs(["wants", "asked", "needs", "expects"], ["you to"], "the user {} {}") + ["to verify your identity", "someone will die if"]),
-        (LOW, "html_css", [f"{k}:{s}{v}" for (k, v), s in product([("display", "none"), ("visibility", "hidden"), ("font-size", "0"), ("opacity", "0;")], ["", " "])] + ["left:-9999px", "top:-9999px", "text-indent:-9999", "color:transparent", "clip:rect(0,0,0,0)"]),
-        (LOW, "markdown_images", ["![img](http", "![image](http"]),
-    ]
-    return [(severity, category, p) for severity, category, patterns in groups for p in patterns]
-
-
-def trie_regex(literals: list[str]) -> str:
-    """A regex that matches the longest of some literals at a place (a prefix trie)."""
-    root: dict = {}
-    for word in literals:
-        node = root
-        for c in word:
-            node = node.setdefault(c, {})
-        node[""] = {}
-
-    def quote(c: str) -> str:
-        return c if c.isalnum() or c in " <>_\"'!:;,%=#/-" or ord(c) > 127 else "\\" + c
-
-    def show(node: dict) -> str:
-        ends = "" in node
-        arms = [quote(c) + show(child) for c, child in node.items() if c]
-        if not arms:
-            return ""
-        body = arms[0] if len(arms) == 1 and not ends else "(?:" + "|".join(arms) + ")"
-        return body + ("?" if ends else "")
-
-    return show(root) or "(?!)"
+#: Category whose patterns a benign context may clear.
+CLEARABLE_CATEGORY = "generic_delimiters"
+DEFAULT = Path(__file__).parent.parent / "data" / "patterns.tsv"
+#: Bound on the entries of a catalog: it goes to every task.
+MOST_PATTERNS = 100_000
+
+Row = tuple[str, str, str]
+
+
+def _parse(lines: list[str]) -> tuple[Row, ...]:
+    """Rows of a catalog file; blank lines and ``#`` lines are skipped."""
+    return tuple(tuple(x.split("\t", 2)) for x in lines if x.strip() and not x.startswith("#"))
+
+
+def _bounded(rows: list) -> list:
+    if len(rows) > MOST_PATTERNS:
+        raise ValueError(f"a catalog has at most {MOST_PATTERNS} patterns")
+    return rows
+
+
+@functools.cache
+def builtin() -> tuple[Row, ...]:
+    return _parse(DEFAULT.read_text(encoding="utf-8").split("\n"))
 
 
 @dataclass(frozen=True)
@@ -92,17 +48,16 @@ class Catalog:
 
     @staticmethod
     def default() -> Catalog:
-        return Catalog(tuple(builtin()))
+        return Catalog(builtin())
 
     @staticmethod
     def from_text(spark: SparkSession, path: str) -> Catalog:
-        """Read a catalog file through Spark; blank lines and ``#`` lines are skipped."""
-        lines = [r.value for r in spark.read.text(path).collect()]
-        return Catalog(tuple(tuple(x.split("\t", 2)) for x in lines if x.strip() and not x.startswith("#")))
+        """Read a catalog file through Spark."""
+        return Catalog(_parse([r.value for r in _bounded(spark.read.text(path).limit(2 * MOST_PATTERNS).collect())]))
 
     @staticmethod
     def from_frame(df: DataFrame) -> Catalog:
-        return Catalog(tuple((r.severity, r.category, r.pattern) for r in df.orderBy("ord").collect()))
+        return Catalog(tuple((r.severity, r.category, r.pattern) for r in _bounded(df.orderBy("ord").limit(MOST_PATTERNS + 1).collect())))
 
     def plus(self, extra: list[tuple[str, str, str]]) -> Catalog:
         return Catalog((*self.rows, *extra))
@@ -114,26 +69,9 @@ class Catalog:
     def patterns(self, severity: str) -> list[str]:
         return [p for s, _, p in self.rows if s == severity]
 
-    def regex(self, severity: str) -> str:
-        return trie_regex(list(dict.fromkeys(p.lower() for p in self.patterns(severity))))
-
-    def anchors(self, severity: str) -> list[str]:
-        """Words of which every pattern holds at least one: a text without any has no match.
-
-        Greedy cover that prefers long words; a pattern without a word of four letters is
-        its own anchor.
-        """
-        left = list(dict.fromkeys(p.lower() for p in self.patterns(severity)))
-        out = []
-        while left:
-            count: dict[str, int] = {}
-            for p in left:
-                for w in {w for w in p.replace("|", " ").split(" ") if len(w) >= 4} or {p}:
-                    count[w] = count.get(w, 0) + 1
-            best = max(count, key=lambda w: (count[w] * len(w) ** 1.5, w))
-            out.append(best)
-            left = [p for p in left if best not in p]
-        return out
+    @property
+    def clearable(self) -> list[str]:
+        return [p for _, c, p in self.rows if c == CLEARABLE_CATEGORY]
 
     def casing(self, severity: str) -> dict[str, str]:
         """Lower-case pattern to the first catalog entry with that spelling, where they differ."""
@@ -141,5 +79,3 @@ class Catalog:
         for p in self.patterns(severity):
             first.setdefault(p.lower(), p)
         return {k: v for k, v in first.items() if k != v}
-
-

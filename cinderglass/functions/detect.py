@@ -7,18 +7,23 @@ from pyspark.sql import functions as F
 
 from cinderglass.functions import views
 from cinderglass.functions.catalog import HIGH, LOW, MEDIUM, Catalog
+from cinderglass.functions.matching import matches
 
 #: Code-point detectors, fixed values: severity, finding, class of code points.
 CODE_POINTS = [
-    (HIGH, "unicode tag characters", r"[\x{E0000}-\x{E007F}]"),
-    (MEDIUM, "mixed Cyrillic and Latin letters", r"[A-Za-z][\x{0400}-\x{04FF}]|[\x{0400}-\x{04FF}][A-Za-z]"),
-    (LOW, "zero-width characters", r"[\x{200B}-\x{200D}\x{FEFF}\x{00AD}]"),
-    (LOW, "bidirectional controls", r"[\x{202A}-\x{202E}\x{2066}-\x{2069}]"),
-    (LOW, "invisible operators or annotations", r"[\x{2060}-\x{2064}\x{FFF9}-\x{FFFC}]"),
-    (LOW, "invisible fillers", r"[\x{180E}\x{2800}\x{3164}\x{FFA0}]"),
-    (LOW, "line or paragraph separators", r"[\x{2028}\x{2029}]"),
-    (LOW, "variation selectors", r"[\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}]"),
+    (HIGH, "unicode tag characters (invisible ASCII encoding)", r"[\x{E0000}-\x{E007F}]"),
+    (MEDIUM, "mixed Cyrillic/Latin script (possible homoglyph attack)", r"[A-Za-z][\x{0400}-\x{04FF}]|[\x{0400}-\x{04FF}][A-Za-z]"),
+    (LOW, "zero-width/invisible characters", r"[\x{200B}-\x{200D}\x{FEFF}\x{00AD}]"),
+    (LOW, "bidirectional override/isolate characters", r"[\x{202A}-\x{202E}\x{2066}-\x{2069}]"),
+    (LOW, "invisible function/annotation characters", r"[\x{2060}-\x{2064}\x{FFF9}-\x{FFFC}]"),
+    (LOW, "invisible filler characters (mongolian/braille/hangul)", r"[\x{180E}\x{2800}\x{3164}\x{FFA0}]"),
+    (LOW, "unicode line/paragraph separators", r"[\x{2028}\x{2029}]"),
+    (LOW, "variation selectors (pattern-breaking invisible chars)", r"[\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}]"),
 ]
+#: Names of the other detectors' findings, fixed values.
+BASE64_FINDING = "suspicious base64-encoded content"
+PREFIX_FINDING = "known base64-encoded attack prefix: "
+LEET_FINDING = "leetspeak obfuscation detected: "
 #: Words looked for in decoded base64, known base64 beginnings, leetspeak phrases; fixed values.
 BASE64_WORDS = "ignore|instruction|system|prompt|override|bypass|jailbreak"
 BASE64_PREFIXES = ["aWdub3Jl", "SWdub3Jl", "cHJpbnQo", "ZWNobyAi", "c3lzdGVt", "b3ZlcnJpZGU"]
@@ -60,29 +65,22 @@ def _cased(found: Column, casing: dict[str, str]) -> Column:
 
 
 def pattern_matches(content: Column, catalog: Catalog, compat: bool = False) -> Column:
-    """Per distinct view a struct of arrays ``high, medium``: leftmost-longest matches in order.
+    """Struct ``high, medium, low``: distinct literals in order of views and places.
 
-    Views that undo nothing equal an earlier one and are matched once; a view without any
-    of the catalog's anchor words skips the regex.
+    A view that undoes nothing equals an earlier one and is matched once.
     """
+    return matches(F.array_distinct(views.all_views(content, compat)), catalog)
 
-    def pick(v: Column, severity: str) -> Column:
-        may = F.exists(strings(*catalog.anchors(severity)), lambda w: F.contains(v, w))
-        return F.when(may, F.regexp_extract_all(v, F.lit(catalog.regex(severity)), F.lit(0))).otherwise(strings())
 
-    return F.transform(F.array_distinct(views.all_views(content, compat)), lambda v: F.struct(pick(v, HIGH).alias("high"), pick(v, MEDIUM).alias("medium")))
-
-
-def findings(matches: Column, content: Column, catalog: Catalog) -> dict[str, Column]:
+def findings(found: Column, content: Column, catalog: Catalog) -> dict[str, Column]:
     """Per severity, all findings: patterns, then detectors."""
-    part = lambda name, severity: _cased(F.array_distinct(F.flatten(matches[name])), catalog.casing(severity))
-    low = F.regexp_extract_all(views.lower(content), F.lit(catalog.regex(LOW)), F.lit(0))
-    high_more = F.array_compact(F.array(F.when(base64_payload(content), F.lit("suspicious base64 content")), F.concat(F.lit("known base64 prefix: "), base64_prefix(content))))
-    medium_more = F.array_compact(F.array(F.concat(F.lit("leetspeak: "), leet_phrase(content))))
+    part = lambda name, severity: _cased(found[name], catalog.casing(severity))
+    high_more = F.array_compact(F.array(F.when(base64_payload(content), F.lit(BASE64_FINDING)), F.concat(F.lit(PREFIX_FINDING), base64_prefix(content))))
+    medium_more = F.array_compact(F.array(F.concat(F.lit(LEET_FINDING), leet_phrase(content))))
     return {
         "high": F.array_distinct(F.concat(part("high", HIGH), code_points(content, HIGH), high_more)),
         "medium": F.array_distinct(F.concat(part("medium", MEDIUM), code_points(content, MEDIUM), medium_more)),
-        "low": F.array_distinct(F.concat(_cased(F.array_distinct(low), catalog.casing(LOW)), code_points(content, LOW))),
+        "low": F.array_distinct(F.concat(part("low", LOW), code_points(content, LOW))),
     }
 
 

@@ -30,7 +30,7 @@ def collapsed(low: Column) -> Column:
 def entity_decoded(low: Column) -> Column:
     out = F.regexp_replace(low, "&#x([0-9a-f]{2});", r"\\x$1")
     out = F.regexp_replace(out, "&#([0-9]{2,3});", "ENTITY_$1")
-    pairs = [("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&quot;", '"')] + [(f"ENTITY_{ord(x)}", x) for x in PLAIN[3:] + PLAIN[:3]]
+    pairs = [("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&quot;", '"')] + [(f"ENTITY_{ord(x)}", x) for x in PLAIN]
     return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), pairs, out)
 
 

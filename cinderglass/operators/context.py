@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cinderglass.functions.catalog import CLEARABLE
 from cinderglass.functions.detect import strings
 
 #: Words that keep a match whatever surrounds it, fixed values.
@@ -51,8 +50,8 @@ def first_line(lines: Column, pattern: Column) -> Column:
     return F.when(at > 0, at.cast("int"))
 
 
-def cleared(content: Column, medium: Column, strict: bool = False) -> Column:
-    """Findings that a benign context clears: generic delimiters only.
+def cleared(content: Column, medium: Column, clearable: list[str], strict: bool = False) -> Column:
+    """Findings that a benign context clears, of the ``clearable`` ones only.
 
     The first line that holds the pattern decides; with ``strict`` every such line must
     be benign.  A pattern that no raw line holds stays.
@@ -66,4 +65,4 @@ def cleared(content: Column, medium: Column, strict: bool = False) -> Column:
             return (F.size(own) > 0) & F.forall(own, lambda n: verdict(lines, n, p)["verdict"] == "fp")
         return F.coalesce(verdict(lines, first_line(lines, p), p)["verdict"] == "fp", F.lit(False))
 
-    return F.filter(F.array_intersect(medium, strings(*CLEARABLE)), benign)
+    return F.filter(F.array_intersect(medium, strings(*clearable)), benign)

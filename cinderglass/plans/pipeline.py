@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinderglass.functions import detect
 from cinderglass.functions.catalog import Catalog
+from cinderglass.functions.names import unused
 from cinderglass.operators import context, redact
-from cinderglass.operators.correlate import correlate
+from cinderglass.operators.correlate import correlate, debounce
 
 
 @dataclass(frozen=True)
@@ -25,17 +26,25 @@ class Options:
     catalog: Catalog = field(default_factory=Catalog.default)
 
 
+def spread(calls: DataFrame) -> DataFrame:
+    """Deal rows out where a batch has fewer parts than the cluster has cores, as one small file has."""
+    cores = calls.sparkSession.sparkContext.defaultParallelism
+    return calls if calls.isStreaming or calls.rdd.getNumPartitions() >= cores else calls.repartition(2 * cores)
+
+
 def scan(calls: DataFrame, options: Options | None = None) -> DataFrame:
     """Findings of ``calls(content, ...)``: ``high, medium, low`` (all, in order), ``cleared``, ``severity``.
 
-    One narrow stage: no shuffle, no Python.  Null content has no findings.
+    One narrow stage, after ``spread``.  Null content has no findings.  Input columns of
+    these names are replaced.
     """
     o = options or Options()
-    text = calls.withColumn("content", F.coalesce("content", F.lit("")))
-    matched = text.withColumn("_m", detect.pattern_matches(F.col("content"), o.catalog, o.compat))
-    found = matched.withColumns(detect.findings(F.col("_m"), F.col("content"), o.catalog)).drop("_m")
+    text = spread(calls.drop("high", "medium", "low", "cleared", "severity")).withColumn("content", F.coalesce("content", F.lit("")))
+    m = unused(text, "matches")
+    matched = text.withColumn(m, detect.pattern_matches(F.col("content"), o.catalog, o.compat))
+    found = matched.withColumns(detect.findings(F.col(m), F.col("content"), o.catalog)).drop(m)
     none = F.array().cast("array<string>")
-    clear = F.when((F.size("high") == 0) & (F.size("medium") > 0), context.cleared(F.col("content"), F.col("medium"), o.strict_clearing)).otherwise(none) if o.verify_context else none
+    clear = F.when((F.size("high") == 0) & (F.size("medium") > 0), context.cleared(F.col("content"), F.col("medium"), o.catalog.clearable, o.strict_clearing)).otherwise(none) if o.verify_context else none
     out = found.withColumn("cleared", clear).withColumn("medium", F.array_except("medium", "cleared"))
     return out.withColumn("severity", detect.severity(F.col("high"), F.col("medium"), F.col("low")))
 
@@ -44,11 +53,22 @@ def decide(scanned: DataFrame, options: Options | None = None) -> DataFrame:
     """Correlate and decide ``scanned`` calls (``event_id, ts, tool_name, url`` and the session).
 
     Adds ``prior_hits, prior_tools, outcome`` (the severity, or ESCALATED) and
-    ``decision`` (message, continue, stop reason, tool result; absent parts null).
+    ``decision`` (message, continue, stop reason, tool result; absent parts null).  With
+    ``compat`` a call with cleared patterns counts as a hit too.
     """
     o = options or Options()
+    return conclude(correlate(scanned.withColumn("is_hit", is_hit(o)), o.session), o)
+
+
+def is_hit(options: Options) -> Column:
+    """Whether a scanned call counts for the calls after it."""
     hit = F.col("severity").isin("HIGH", "MEDIUM")
-    flagged = correlate(scanned.withColumn("is_hit", hit), o.session)
+    return hit | (F.size("cleared") > 0) if options.compat else hit
+
+
+def conclude(flagged: DataFrame, options: Options | None = None) -> DataFrame:
+    """The part of ``decide`` after correlation, for batches and streams alike."""
+    o = options or Options()
     outcome = F.when((F.col("severity") == "MEDIUM") & F.col("escalated"), "ESCALATED").otherwise(F.col("severity"))
     x = flagged.withColumn("outcome", outcome)
     strong, medium, low = redact.shown_list(F.col("high")), redact.shown_list(F.col("medium")), redact.shown_list(F.col("low"))
@@ -73,6 +93,7 @@ def decide(scanned: DataFrame, options: Options | None = None) -> DataFrame:
 
 def audit(decided: DataFrame) -> DataFrame:
     """Audit rows: one per outcome, SANITIZE for redacted texts, CLEARED per cleared pattern."""
+    at = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("logged_at")
     base = ["event_id", "ts", "tool_name", "url"]
     outcome = F.struct(F.col("outcome").alias("kind"), F.array_join(F.when(F.col("outcome") == "HIGH", F.col("high")).when(F.col("outcome") == "LOW", F.col("low")).otherwise(F.col("medium")), ", ").alias("detail"))
     sanitize = F.struct(F.lit("SANITIZE").alias("kind"), F.concat(F.lit("hash="), redact.digest(F.col("content")), F.lit(" lines="), redact.line_count(F.col("content")).cast("string")).alias("detail"))
@@ -81,12 +102,19 @@ def audit(decided: DataFrame) -> DataFrame:
         F.when(F.col("outcome").isin("HIGH", "MEDIUM", "ESCALATED"), F.array(sanitize)).otherwise(F.array().cast("array<struct<kind: string, detail: string>>")),
         F.transform("cleared", lambda p: F.struct(F.lit("CLEARED").alias("kind"), p.alias("detail"))),
     )
-    return decided.select(*base, F.explode(rows).alias("r")).select(*base, "r.kind", "r.detail")
+    return decided.select(*base, at, F.explode(rows).alias("r")).select(*base, "logged_at", "r.kind", "r.detail")
 
 
 def rollup(scanned: DataFrame, catalog: Catalog) -> DataFrame:
     """Calls per severity and category of finding, with totals (an extension)."""
+    # the catalog is bounded, see MOST_PATTERNS
     spark = scanned.sparkSession
     names = catalog.frame(spark).dropDuplicates(["severity", "pattern"]).select("pattern", F.col("severity").alias("level"), "category")
     found = scanned.select(F.explode(F.array_distinct(F.concat("high", "medium", "low"))).alias("pattern"))
     return found.join(F.broadcast(names), "pattern", "left").rollup("level", "category").agg(F.count(F.lit(1)).alias("n"))
+
+
+def notifications(decided: DataFrame, options: Options | None = None) -> DataFrame:
+    """When to notify: per session the times at which calls with an outcome are announced, at least 5 s apart."""
+    o = options or Options()
+    return debounce(decided.where("outcome <> 'NONE'"), o.session)

@@ -8,6 +8,7 @@ hits known so far.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,35 +18,58 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cinderglass.operators.correlate import ESCALATE_AT, SPACING_S, WINDOW_S
 
-_OUT = "session string, event_id long, s long, tool_name string, is_hit boolean, prior_hits long, prior_tools string, escalated boolean, notify boolean"
+_OUT = "session string, event_id long, s long, tool_name string, is_hit boolean, payload string, prior_hits long, prior_tools string, escalated boolean, notify boolean"
 _STATE = "s array<long>, tool array<string>, sent long"
+_NEVER = -(10**15)
+
+
+def _listed(x) -> list:
+    return list(x) if x is not None else []
 
 
 def _advance(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One micro-batch of a session: known hits and new calls are merged in time order once."""
     if state.hasTimedOut:
         state.remove()
         return
-    times, tools, sent = (list(x) if isinstance(x, (list, tuple)) or hasattr(x, "tolist") else x for x in state.get) if state.exists else ([], [], -(10**15))
+    times, tools, sent = state.get if state.exists else ([], [], _NEVER)
+    known = sorted(zip(_listed(times), _listed(tools), strict=True))
     rows = pd.concat(list(pdfs)).sort_values(["s", "event_id"])
-    out = []
-    for r in rows.itertuples(index=False):
-        live = [(t, x) for t, x in zip(times, tools, strict=True) if t >= r.s - WINDOW_S]
-        times, tools = [t for t, _ in live], [x for _, x in live]
-        prior = [x for t, x in live if t <= r.s]
-        escalated = bool(r.is_hit) and len(prior) >= ESCALATE_AT
-        notify = bool(r.is_hit) and r.s - sent >= SPACING_S
-        sent = r.s if notify else sent
-        out.append((key[0], r.event_id, r.s, r.tool_name, r.is_hit, len(prior), ",".join(sorted(set(prior))), escalated, notify))
-        if r.is_hit:
-            times.append(r.s)
-            tools.append(r.tool_name)
-    state.update((times, tools, int(sent)))
+    hits: list[tuple[int, str]] = []  # hits up to the call at hand, in time order
+    low = taken = 0  # the first of them that is still in the window; known hits merged so far
+    live: Counter = Counter()
+    made: dict[str, list] = {name: [] for name in ("prior_hits", "prior_tools", "escalated", "notify")}
+    for s, tool, is_hit in zip(rows["s"], rows["tool_name"], rows["is_hit"], strict=True):
+        while taken < len(known) and known[taken][0] <= s:
+            hits.append(known[taken])
+            live[known[taken][1]] += 1
+            taken += 1
+        while low < len(hits) and hits[low][0] < s - WINDOW_S:
+            live[hits[low][1]] -= 1
+            low += 1
+        prior = len(hits) - low
+        made["prior_hits"].append(prior)
+        made["prior_tools"].append(",".join(sorted(t for t, n in live.items() if n)))
+        made["escalated"].append(bool(is_hit) and prior >= ESCALATE_AT)
+        made["notify"].append(bool(is_hit) and s - sent >= SPACING_S)
+        if is_hit:
+            sent = s if made["notify"][-1] else sent
+            hits.append((int(s), tool))
+            live[tool] += 1
+    kept = sorted(hits[low:] + known[taken:])
+    newest = max([t for t, _ in kept], default=int(rows["s"].max()))
+    kept = [(t, x) for t, x in kept if t >= newest - 2 * WINDOW_S]
+    state.update(([t for t, _ in kept], [x for _, x in kept], int(sent)))
     state.setTimeoutTimestamp(max(int(rows["s"].max() + WINDOW_S + 1) * 1000, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in _OUT.split(",")])
+    yield rows.assign(session=key[0], **made)[[c.strip().split(" ")[0] for c in _OUT.split(",")]]
+
 
+def correlate_stream(calls: DataFrame, lateness: str = "5 minutes", payload: str | None = None) -> DataFrame:
+    """Prior hits, escalation and notifications of a stream ``calls(session, event_id, ts, tool_name, is_hit)``.
 
-def correlate_stream(calls: DataFrame, lateness: str = "5 minutes") -> DataFrame:
-    """Prior hits, escalation and notifications of a stream ``calls(session, event_id, ts, tool_name, is_hit)``."""
+    ``payload`` names a string column that goes along unchanged.
+    """
     timed = calls.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
-    keyed = timed.select("session", "event_id", F.unix_timestamp("ts").alias("s"), "tool_name", "is_hit", "ts")
+    carried = (F.col(payload) if payload else F.lit(None).cast("string")).alias("payload")
+    keyed = timed.select("session", "event_id", F.unix_timestamp("ts").alias("s"), "tool_name", "is_hit", carried, "ts")
     return keyed.groupBy("session").applyInPandasWithState(_advance, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
