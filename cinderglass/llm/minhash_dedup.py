@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderglass.llm import words as W
-from cinderglass.llm.graph import components, merged
-from cinderglass.llm.shared import count_of, stash, table
+from cinderglass.llm.graph import merged
+from cinderglass.llm.shared import count_of, stash, table, unstash
 
 BANDS, ROWS = 48, 5
 #: Ids of candidates are broadcast to thin out the texts up to this many (8 bytes each).
@@ -74,7 +74,7 @@ def signature(values: np.ndarray, bins: int = BANDS * ROWS) -> np.ndarray:
 
 
 def _sign(k: int):
-    names = ["doc_id", "n_shingles", "set_a", "set_b", "bands"]
+    names = ["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,7 +90,7 @@ def _sign(k: int):
                     keys = W.mix(keys * np.uint64(0x9E3779B97F4A7C15) + band[:, :, j])
                 sums_ = np.array(sums, np.uint64).reshape(-1, 2).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * BANDS), pa.array(keys.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(counts, pa.int64()), pa.array(sums_[:, 0].copy()), pa.array(sums_[:, 1].copy()), lists], names=names)
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("text_hash"), pa.array(counts, pa.int64()), pa.array(sums_[:, 0].copy()), pa.array(sums_[:, 1].copy()), lists], names=names)
 
     return run
 
@@ -119,12 +119,12 @@ def _confirm(k: int, percent: int):
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of ``texts(doc_id, text)`` that pass the check on full sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    """Pairs (a, b) of ``texts(cls, text)`` that pass the check on full sets."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     ids = F.broadcast(ids) if count_of(ids) <= BROADCAST_IDS else ids
-    own = texts.join(ids, "doc_id", "left_semi")
-    right = pairs.join(own.select(F.col("doc_id").alias("b"), "text"), "b")
-    both = right.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    own = texts.join(ids, "cls", "left_semi")
+    right = pairs.join(own.select(F.col("cls").alias("b"), "text"), "b")
+    both = right.join(own.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text", "text_a").mapInArrow(_confirm(k, percent), "a long, b long")
 
 
@@ -157,15 +157,15 @@ def _prefixes(k: int, percent: int, frequency: np.ndarray):
                     long = n - (percent * n + 99) // 100 + 1
                     token = s[np.lexsort((s, frequency[(s % np.uint64(RARE_SLOTS)).astype(np.int64)]))[:long]]
                     same = lambda name: pa.array([piece.column(name)[i].as_py()] * len(token), pa.int64())  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), same("doc_id"), same("component"), pa.array(np.full(len(token), n)), pa.array(np.arange(len(token)))], names=["token", "cls", "component", "n", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), same("cls"), same("component"), pa.array(np.full(len(token), n)), pa.array(np.arange(len(token)))], names=["token", "cls", "component", "n", "at"])
 
     return run
 
 
 def _finish(texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Every pair ``a < b`` of ``texts(doc_id, component, text)`` that may be a link between components."""
+    """Every pair ``a < b`` of ``texts(cls, component, text)`` that may be a link between components."""
     total = count_of(texts)
-    sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total // RARE_SAMPLE))) == 0).select("text")
+    sample = texts.where(F.pmod(F.xxhash64("cls"), F.lit(max(1, total // RARE_SAMPLE))) == 0).select("text")
     counted = sample.mapInArrow(_frequencies(k), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     frequency = np.zeros(RARE_SLOTS, np.int32)
     frequency[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
@@ -187,29 +187,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Shingles are k words, A-Z lower-cased; links hold from ``percent`` % similarity;
     ``component_id`` is the smallest doc_id reachable.  Null, empty and blank texts
     have no shingles and no links.  Rows of one doc_id with different texts are one
-    node, linked by what either links to; each gives a row.  A row without a doc_id
-    gets a null component and is not kept.
+    node, linked by what any of them links to; each gives a row.  A row without a doc_id
+    gets a null component and is not kept.  Other columns are ignored; an empty table
+    gives an empty table.
     """
-    spark = docs.sparkSession
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    signed = stash(texts.mapInArrow(_sign(k), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "signatures")
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    signed = stash(texts.mapInArrow(_sign(k), "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>"), "signatures")
     sets = signed.where("n_shingles > 0 and doc_id is not null")
     same = ["n_shingles", "set_a", "set_b"]
-    classes = sets.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n"))
-    classes = stash(classes, "classes")
-    twins = sets.select("doc_id", *same).join(classes.where("n > 1").select("rep", *same), same).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    placed = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
-    buckets = placed.groupBy("band", "bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("band", "bucket")
+    classes = sets.groupBy(*same).agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("bands").alias("bands"))
+    classes = stash(classes.select(F.monotonically_increasing_id().alias("cls"), *same, "rep", "bands"), "classes")
+    placed = classes.select("cls", F.posexplode("bands").alias("band", "bucket"))
+    buckets = placed.groupBy("band", "bucket").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("band", "bucket")
     shared = stash(placed.join(buckets, ["band", "bucket"]), "buckets")
-    one_each = stash(texts.where("doc_id is not null").join(_broadcastable(shared.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
-    tried = spark.createDataFrame([], "a long, b long")
-    grouped = shared.withColumn("component", F.col("rep"))
+    wanted = classes.select("cls", "rep.*").join(shared.select("cls").distinct(), "cls", "left_semi")
+    one_each = stash(texts.where("doc_id is not null").join(_broadcastable(wanted), ["doc_id", "text_hash"]).groupBy("cls").agg(F.max("text").alias("text")), "texts")
+    tried = docs.sparkSession.createDataFrame([], "a long, b long")
+    grouped = shared.withColumn("component", F.col("cls"))
     labels = None
     turn = 0
     while True:
-        order = F.struct(F.lit(0), "rep") if not turn else F.struct(F.xxhash64("rep", "band", F.lit(turn)), "rep")
-        hubs = grouped.groupBy("band", "bucket").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("hub"), F.col("component").alias("own"))).alias("h")).select("band", "bucket", "h.hub", "h.own")
-        star = grouped.join(hubs, ["band", "bucket"]).where("component <> own").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+        order = F.struct(F.lit(0), "cls") if not turn else F.struct(F.xxhash64("cls", "band", F.lit(turn)), "cls")
+        hubs = grouped.groupBy("band", "bucket").agg(F.min(F.struct(order.alias("o"), F.col("cls").alias("hub"), F.col("component").alias("own"))).alias("h")).select("band", "bucket", "h.hub", "h.own")
+        star = grouped.join(hubs, ["band", "bucket"]).where("component <> own").select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b")).distinct()
         new = stash(star.join(tried, ["a", "b"], "left_anti"), "candidates")
         if not count_of(new):
             break
@@ -217,24 +217,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         found = stash(confirmed(new, one_each, k, percent), "links")
         if not count_of(found) and turn:
             break
-        labels = merged(labels, found) if turn else components(found.union(twins))
+        labels = merged(labels, found)
         turn += 1
-        grouped = stash(
-            shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "band", "bucket", F.coalesce("component", "rep").alias("component")),
-            "grouped",
-        )
-        mixed = grouped.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "bucket")
-        grouped = stash(grouped.join(mixed, ["band", "bucket"]), "grouped")
-    labels = components(twins) if labels is None else labels
-    left = stash(grouped.select(F.col("rep").alias("doc_id"), "component").distinct(), "mixed")
+        before = grouped
+        named = shared.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "band", "bucket", F.coalesce("component", "cls").alias("component"))
+        named = stash(named, "grouped")
+        mixed = named.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "bucket")
+        grouped = stash(named.join(mixed, ["band", "bucket"]), "grouped")
+        unstash(before, named)
+    left = stash(grouped.select("cls", "component").distinct(), "mixed")
     if count_of(left):
-        ends = _broadcastable(left)
-        pairs = _finish(stash(one_each.join(ends, "doc_id"), "mixed"), k, percent)
+        pairs = _finish(stash(one_each.join(_broadcastable(left), "cls"), "mixed"), k, percent)
         found = stash(confirmed(stash(pairs.join(tried, ["a", "b"], "left_anti"), "candidates"), one_each, k, percent), "links")
         labels = merged(labels, found)
-    out = signed.select("doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    label = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", label.alias("component_id"), F.coalesce(label == F.col("doc_id"), F.lit(False)).alias("kept"))
+    member = stash(signed.drop("bands", "text_hash").join(classes.select("cls", *same, F.col("rep.doc_id").alias("rep")), same, "left").select("doc_id", "n_shingles", "cls", "rep"), "members")
+    several = member.where("doc_id is not null and cls is not null").groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("high")).where("a <> high")
+    crossing = several.join(member.select("doc_id", F.col("cls").alias("b")), "doc_id").where("a <> b").select("a", "b")
+    labels = merged(labels, crossing)
+    linked = labels.join(classes.select(F.col("cls").alias("node"), F.col("rep.doc_id").alias("rep")), "node")
+    first = linked.join(linked.groupBy("component").agg(F.min("rep").alias("label")), "component").select(F.col("node").alias("cls"), "label")
+    named = member.where("doc_id is not null and cls is not null").join(first, "cls", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
+    # a text without shingles whose id has other texts belongs with them
+    alone = member.where("doc_id is null or cls is null").select("doc_id", F.col("n_shingles"))
+    alone = alone.join(named.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return named.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
 def _broadcastable(ids: DataFrame) -> DataFrame:
