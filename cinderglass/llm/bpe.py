@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from cinderglass.llm import words as W
-from cinderglass.llm.shared import table, widened
+from cinderglass.llm.shared import map_rows, table
 
 #: Texts and pieces of more characters are cut into leaves of at most this size.
 LEAF_CHARS = 1024
@@ -247,7 +247,7 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None, digests: bool = Fal
     rest = docs.drop(*names)
     kinds = ["long", "string" if digests else "array<int>", "string"]
     made = ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True))
-    return rest.mapInArrow(_encode(path or default_path(), digests), widened(rest, made))
+    return map_rows(rest, _encode(path or default_path(), digests), made)
 
 
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderglass.llm import words as W
-from cinderglass.llm.shared import stash, table, unused, widened
+from cinderglass.llm.shared import map_rows, stash, table, unused
 
 #: Winning paths are broadcast up to this many bytes, else joined.
 BROADCAST_BYTES = 32 << 20
@@ -275,10 +275,9 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _take(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rest = [c for c in batch.schema.names if c != path]
             for piece in W.chunks(batch, "html", PIECE_BYTES):
                 texts = [extract(p, w) for p, w in zip(piece.column("html").to_pylist(), piece.column(path).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*piece.select(rest).columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*rest, "text", "n_chars"])
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*piece.schema.names, "text", "n_chars"])
 
     return run
 
@@ -299,7 +298,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     won = stash(best.select(F.col("host").alias(key), F.col("best.path").alias(path)), "paths")
     volume = won.agg(F.sum(F.octet_length(key) + F.octet_length(path) + 64)).first()[0] or 0
     joined = rest.withColumn(key, host).join(F.broadcast(won) if volume <= BROADCAST_BYTES else won, key, "left").drop(key)
-    return joined.mapInArrow(_take(path), widened(rest, "text string, n_chars long"))
+    return map_rows(joined, _take(path), "text string, n_chars long").drop(path)
 
 
 def op7_extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,6 +68,14 @@ def widened(df: DataFrame, added: str) -> StructType:
     return StructType([*df.schema.fields, *_parse_datatype_string(added).fields])
 
 
+def map_rows(df: DataFrame, run, added: str) -> DataFrame:
+    """``df.mapInArrow`` for a function that adds columns; any names, also with dots, go through it."""
+    names = df.columns
+    safe = df.toDF(*(f"column {k}" if "." in c or "`" in c else c for k, c in enumerate(names)))
+    schema = widened(safe, added)
+    return safe.mapInArrow(run, schema).toDF(*names, *schema.names[len(names) :])
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, made longer until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

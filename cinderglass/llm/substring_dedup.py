@@ -501,6 +501,18 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, digest_only: bool = F
     return joined.mapInArrow(run, widened(rest, f"n_words long, n_removed long, {own[2]} string"))
 
 
+#: The same relation from all windows.
+ORACLE = r"""
+with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+win as (select doc_id, i, array_to_string(ws[i:i + 19], ' ') as g from (select doc_id, ws, unnest(range(1, len(ws) - 18)) as i from w where len(ws) >= 20)),
+again as (select doc_id, i from (select *, row_number() over (partition by g order by doc_id, i) as k from win) where k > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) as j from again),
+word as (select doc_id, unnest(ws) as x, generate_subscripts(ws, 1) as j from w),
+kept as (select doc_id, string_agg(x, ' ' order by j) as t, count(*) as n from word anti join gone using (doc_id, j) group by doc_id)
+select w.doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from w left join kept using (doc_id)
+"""
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: per document, words, removed words and the digest of the rest."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

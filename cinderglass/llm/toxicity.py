@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from cinderglass.llm import words as W
 from cinderglass.llm.boosting import Boosted, Isotonic, _sigmoid
-from cinderglass.llm.shared import stash, table, widened
+from cinderglass.llm.shared import map_rows, stash, table
 
 #: Bound on labelled rows that the model is fitted on, and on entries of the lexicon.
 TRAIN_ROWS = 20_000
@@ -228,7 +228,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     """
     model = fit(docs, labels)
     rest = docs.drop("score", "predicted", "held_out")
-    scored = rest.mapInArrow(_score(model), widened(rest, "score double"))
+    scored = map_rows(rest, _score(model), "score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     return scored.withColumns({"held_out": held, "predicted": (F.col("score") >= threshold).cast("int")})
 
