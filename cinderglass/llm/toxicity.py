@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinderglass.functions.spread import spread
 from cinderglass.llm import words as W
 from cinderglass.llm.boosting import Boosted, Isotonic, _sigmoid
 from cinderglass.llm.shared import map_rows, stash, table
@@ -103,7 +104,7 @@ def features(piece: pa.RecordBatch, lexicons: list[Lexicon], which: np.ndarray |
     you = _SECOND[np.minimum(np.searchsorted(_SECOND, grams[0]), len(_SECOND) - 1)] == grams[0]
     beside = np.cumsum(np.append(0, you))
     at = np.arange(len(you))
-    near = beside[np.minimum(at + NEAR + 1, len(you))] - beside[np.maximum(at - NEAR, 0)] > 0
+    near = beside[np.minimum(at + NEAR + 1, split.first[owner + 1])] - beside[np.maximum(at - NEAR, split.first[owner])] > 0
     most = np.zeros(n)
     np.maximum.at(most, owner[hit], weight[hit])
     long = split.end - split.start
@@ -228,7 +229,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     """
     model = fit(docs, labels)
     rest = docs.drop("score", "predicted", "held_out")
-    scored = map_rows(rest, _score(model), "score double")
+    scored = map_rows(spread(rest), _score(model), "score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     return scored.withColumns({"held_out": held, "predicted": (F.col("score") >= threshold).cast("int")})
 

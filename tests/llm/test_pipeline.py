@@ -2,13 +2,16 @@
 
 import hashlib
 
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from cinderglass.llm import stages
 from cinderglass.llm.bpe import default_path
 from cinderglass.llm.decontaminate import normal_words
 from cinderglass.llm.shared import stash, table
+from cinderglass.llm.toxicity import fit
 from tests.llm import test_minhash_dedup, test_substring_dedup
 
 D = "/root/testdata/sf0.001"
@@ -33,6 +36,21 @@ def test_columns_and_counts(steps):
         assert after.columns == before.columns and 0 < after.count() <= before.count()
 
 
+def test_toxic(spark, steps):
+    large = "/root/testdata/sf0.01"
+    before = table(spark, large, "documents")
+    after = rows(stages.drop_toxic(spark, before, large))
+    labels = table(spark, large, "labels").select("doc_id", "toxic")
+    model = fit(before, labels)
+    score = lambda text: model.probability(pa.RecordBatch.from_arrays([pa.array([text])], names=["text"]))[0]
+    assert set(after) == {i for i, r in rows(before).items() if score(r.text) < 0.7}
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    gone = set(rows(before)) - set(after)
+    toxic, clean = ({i for i, t in truth.items() if t == y} for y in (1, 0))
+    assert len(gone & toxic) >= 0.6 * len(toxic) and len(gone & clean) <= 0.02 * len(clean)
+    assert steps[0][1].count()
+
+
 def test_near_copies(steps):
     before, after = steps[1]
     want = test_minhash_dedup.brute([(r.doc_id, r.text) for r in before.collect()], 5)
