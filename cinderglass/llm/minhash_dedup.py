@@ -8,8 +8,8 @@ texts.  Candidates are confirmed on the full shingle sets.
 
 Texts with the same set are one class from the start.  A link can hide behind a hub
 that is similar to neither end, so rounds follow, each with other hubs: buckets whose
-texts are still in different components get a new star over those, until a round
-adds no link.  What is then still mixed gets an exact finish: a text's shingles are
+texts are still in different components get a new star over those, as long as that
+pays.  What is then still mixed gets an exact finish: a text's shingles are
 put in one order, rare ones first, and two texts with a link share one among the first
 few of each (prefix filter), so all pairs of different components that do are checked,
 except those that their sizes or the places of the shared shingle rule out.  With 48
@@ -26,11 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinderglass.functions.spread import spread
 from cinderglass.llm import words as W
 from cinderglass.llm.graph import merged
 from cinderglass.llm.shared import count_of, stash, table, unstash
 
 BANDS, ROWS = 48, 5
+#: Stars go on while one in so many of their candidates is a link; the finish takes the rest.
+YIELD = 20
 #: Ids of candidates are broadcast to thin out the texts up to this many (8 bytes each).
 BROADCAST_IDS = 4_000_000
 #: Texts from which the finish learns which shingles are rare, and slots of its counts.
@@ -192,7 +195,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     gives an empty table.
     """
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    signed = stash(texts.mapInArrow(_sign(k), "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>"), "signatures")
+    signed = stash(spread(texts).mapInArrow(_sign(k), "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>"), "signatures")
     sets = signed.where("n_shingles > 0 and doc_id is not null")
     same = ["n_shingles", "set_a", "set_b"]
     classes = sets.groupBy(*same).agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("bands").alias("bands"))
@@ -211,12 +214,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         hubs = grouped.groupBy("band", "bucket").agg(F.min(F.struct(order.alias("o"), F.col("cls").alias("hub"), F.col("component").alias("own"))).alias("h")).select("band", "bucket", "h.hub", "h.own")
         star = grouped.join(hubs, ["band", "bucket"]).where("component <> own").select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b")).distinct()
         new = stash(star.join(tried, ["a", "b"], "left_anti"), "candidates")
-        if not count_of(new):
-            break
+        tested = count_of(new)
         tried = tried.union(new)
         found = stash(confirmed(new, one_each, k, percent), "links")
-        if not count_of(found) and turn:
-            break
         labels = merged(labels, found)
         turn += 1
         before = grouped
@@ -225,6 +225,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         mixed = named.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "bucket")
         grouped = stash(named.join(mixed, ["band", "bucket"]), "grouped")
         unstash(before, named)
+        if YIELD * count_of(found) < tested or not tested:
+            break
     left = stash(grouped.select("cls", "component").distinct(), "mixed")
     if count_of(left):
         pairs = _finish(stash(one_each.join(_broadcastable(left), "cls"), "mixed"), k, percent)
