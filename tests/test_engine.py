@@ -98,7 +98,7 @@ def test_detectors(spark):
     assert got["leet"].medium == ["leetspeak obfuscation detected: system prompt"]
 
 
-def test_url_rules_and_priority(spark):
+def test_url_rules_and_priority(spark, tmp_path):
     cases = {
         "": None, "https://ok.example.com/a": None, "data:text/html,x": "dangerous URI scheme", "http://127.0.0.1/": "internal network (SSRF)", "http://a.example.com/?u=http://10.1": "internal network (SSRF)", "https://9.9.9.9/": "direct IP address",
         "https://e.example.com/" + "x" * 2048: "URL exceeds 2048 chars", "https://u:p@e.example.com/": "credentials in URL", "https://e.example.com/?next=https://b": "open redirect parameter", "https://e.example.com/f.zip": "high-risk TLD",
@@ -110,6 +110,9 @@ def test_url_rules_and_priority(spark):
     answers = {r.url: r.answer for r in screen_decisions(screen(urls, listed)).collect()}
     assert answers["ftp://10.0.0.1/x.zip"].asDict() == {"decision": "block", "reason": "Pre-screening blocked: dangerous URI scheme", "systemMessage": None}
     assert answers[""].decision == "approve" and answers[""].systemMessage
+    events.write_answers(screen_decisions(screen(urls, listed)), f"{tmp_path}/answers")
+    written = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/answers").collect()]
+    assert sorted(w["decision"] for w in written) == ["approve"] * 3 + ["block"] * 11
     rows = screen_audit(screen(urls.withColumn("event_id", F.lit(7)), listed), ["event_id"]).collect()
     assert len(rows) == 11 and {(r.event_id, r.kind) for r in rows} == {(7, "PRE-BLOCK")}
 
