@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from cinderglass.functions.spread import spread
 from cinderglass.llm import words as W
 from cinderglass.llm.shared import map_rows, table
 
@@ -247,7 +248,7 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None, digests: bool = Fal
     rest = docs.drop(*names)
     kinds = ["long", "string" if digests else "array<int>", "string"]
     made = ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True))
-    return map_rows(rest, _encode(path or default_path(), digests), made)
+    return map_rows(spread(rest), _encode(path or default_path(), digests), made)
 
 
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinderglass.functions.spread import spread
 from cinderglass.llm import words as W
 from cinderglass.llm.shared import map_rows, table
 
@@ -150,7 +151,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         raise ValueError(f"a benchmark of {size} words is beyond the automaton's bound of {MOST_WORDS}")
     items = [tuple(r) for r in texts.collect()]
     rest = docs.drop(*own)
-    return map_rows(rest, _scan(items, window), f"n_words long, {_SPANS}, items array<string>, offsets array<struct<start: long, end: long>>")
+    return map_rows(spread(rest), _scan(items, window), f"n_words long, {_SPANS}, items array<string>, offsets array<struct<start: long, end: long>>")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinderglass.functions.spread import spread
 from cinderglass.llm import words as W
 from cinderglass.llm.shared import map_rows, stash, table, unused
 
@@ -290,14 +291,14 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     votes the longer one wins, then the last by name.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    votes = pages.select(host.alias("host"), "html").mapInArrow(_vote, "host string, path string")
+    votes = spread(pages.select(host.alias("host"), "html")).mapInArrow(_vote, "host string, path string")
     counted = votes.where("path is not null").groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"))
     best = counted.groupBy("host").agg(F.max(F.struct("votes", F.length("path").alias("long"), "path")).alias("best"))
     rest = pages.drop("text", "n_chars")
     key, path = unused(rest, "host"), unused(rest, "path")
     won = stash(best.select(F.col("host").alias(key), F.col("best.path").alias(path)), "paths")
     volume = won.agg(F.sum(F.octet_length(key) + F.octet_length(path) + 64)).first()[0] or 0
-    joined = rest.withColumn(key, host).join(F.broadcast(won) if volume <= BROADCAST_BYTES else won, key, "left").drop(key)
+    joined = spread(rest).withColumn(key, host).join(F.broadcast(won) if volume <= BROADCAST_BYTES else won, key, "left").drop(key)
     return map_rows(joined, _take(path), "text string, n_chars long").drop(path)
 
 

@@ -14,6 +14,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinderglass.functions.spread import spread
 from cinderglass.llm.shared import table
 
 #: Known licence sentences, fixed values: identifier and normalised text, as sentences end here.
@@ -161,7 +162,7 @@ def license_scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules
     lines = lambda s: F.filter(F.transform(F.split(s, "\n"), look), lambda x: x.isNotNull())
     units = F.flatten(F.transform(F.split("text", _END), lambda s: F.when(look(s).isNotNull(), F.array(look(s))).otherwise(lines(s))))
     none = F.array().cast("array<string>")
-    out = docs.drop("sentence_ids", "licenses").withColumn("sentence_ids", F.when(may, units).otherwise(none))
+    out = spread(docs.drop("sentence_ids", "licenses")).withColumn("sentence_ids", F.when(may, units).otherwise(none))
     chain = F.array_join(F.transform("sentence_ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")
 
     def won(name: str, ids: list[str]) -> Column:

@@ -32,6 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinderglass.functions.spread import spread
 from cinderglass.llm import words as W
 from cinderglass.llm.shared import parts, stash, table, widened
 
@@ -482,7 +483,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, digest_only: bool = F
     gives an empty table.
     """
     own = ["n_words", "n_removed", "kept_sha256" if digest_only else "kept_text"]
-    rest = docs.drop("n_words", "n_removed", own[2])
+    rest = spread(docs.drop("n_words", "n_removed", own[2]))
     keyed = rest.select(F.struct(*(rest[f"`{c}`"] for c in rest.columns)).alias("row"), F.coalesce(rest["doc_id"].cast("long"), F.lit((1 << 63) - 1)).alias("kid"), F.xxhash64(F.coalesce(rest["text"], F.lit(""))).alias("kh"))
     joined = keyed.join(repeated_spans(keyed, window), ["kid", "kh"], "left").select("row", "spans")
 
