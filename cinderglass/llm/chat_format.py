@@ -99,7 +99,8 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> Data
     one with the smallest turn (then text) counts.  Returns ``call_id, conv_id, turn,
     level, valid, errors, record``; sort by (level, turn, call_id) for a topological
     order.  Calls on a cycle have a null level and an error.  A call without id meets no
-    result.  Repeated call ids each give a row.
+    result.  Repeated call ids each give a row.  Other columns of either table are
+    ignored; empty tables give an empty table.
     """
     first = results.groupBy("call_id").agg(F.min(F.struct("result_turn", "content")).alias("first"), F.count(F.lit(1)).alias("n_results"))
     levels = _levels(calls)

@@ -128,7 +128,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     own = texts.join(ids, "cls", "left_semi")
     right = pairs.join(own.select(F.col("cls").alias("b"), "text"), "b")
     both = right.join(own.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text", "text_a").mapInArrow(_confirm(k, percent), "a long, b long")
+    return both.select("a", "b", "text", "text_a").mapInArrow(W.trimmed(_confirm(k, percent)), "a long, b long")
 
 
 def _frequencies(k: int):
@@ -169,10 +169,10 @@ def _finish(texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Every pair ``a < b`` of ``texts(cls, component, text)`` that may be a link between components."""
     total = count_of(texts)
     sample = texts.where(F.pmod(F.xxhash64("cls"), F.lit(max(1, total // RARE_SAMPLE))) == 0).select("text")
-    counted = sample.mapInArrow(_frequencies(k), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counted = sample.mapInArrow(W.trimmed(_frequencies(k)), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     frequency = np.zeros(RARE_SLOTS, np.int32)
     frequency[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
-    rows = stash(texts.mapInArrow(_prefixes(k, percent, frequency), "token long, cls long, component long, n long, at long"), "prefixes")
+    rows = stash(texts.mapInArrow(W.trimmed(_prefixes(k, percent, frequency)), "token long, cls long, component long, n long, at long"), "prefixes")
     hot = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("salts"))
     rows = stash(rows.join(hot, "token"), "prefixes")
     left = rows.withColumn("salt", F.pmod(F.xxhash64("cls"), "salts").cast("int")).alias("l")
@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     gives an empty table.
     """
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    signed = stash(spread(texts).mapInArrow(_sign(k), "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>"), "signatures")
+    signed = stash(spread(texts).mapInArrow(W.trimmed(_sign(k)), "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>"), "signatures")
     sets = signed.where("n_shingles > 0 and doc_id is not null")
     same = ["n_shingles", "set_a", "set_b"]
     classes = sets.groupBy(*same).agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("bands").alias("bands"))

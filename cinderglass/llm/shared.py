@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from cinderglass.llm.words import trimmed
+
 #: Used only where the session names no folder and all tasks run on this machine.
 FALLBACK_DIR = "/tmp/checkpoints/cinderglass"
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,6 +28,17 @@ def _hadoop(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to ``BATCH_BYTES`` in a session that has Spark's default for them.
+
+    A batch is held by the JVM and by Python, several times over while it is built, in
+    each task of an executor; rows here are whole texts.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).rstrip("bB") == str(64 << 20):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return it read back.
 
@@ -32,6 +46,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     go when the application ends, or earlier by ``unstash``.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
@@ -70,10 +85,11 @@ def widened(df: DataFrame, added: str) -> StructType:
 
 def map_rows(df: DataFrame, run, added: str) -> DataFrame:
     """``df.mapInArrow`` for a function that adds columns; any names, also with dots, go through it."""
+    small_batches(df.sparkSession)
     names = df.columns
     safe = df.toDF(*(f"column {k}" if "." in c or "`" in c else c for k, c in enumerate(names)))
     schema = widened(safe, added)
-    return safe.mapInArrow(run, schema).toDF(*names, *schema.names[len(names) :])
+    return safe.mapInArrow(trimmed(run), schema).toDF(*names, *schema.names[len(names) :])
 
 
 def unused(df: DataFrame, name: str) -> str:

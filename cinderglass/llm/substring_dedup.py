@@ -39,7 +39,7 @@ from cinderglass.llm.shared import parts, stash, table, widened
 WINDOW = 20
 PREFIX = 5
 #: Words that a task takes at once, words whose leaves a group should hold, leaves of one tree pass.
-TASK_WORDS = 1_000_000
+TASK_WORDS = 500_000
 GROUP_WORDS = 6_000_000
 TREE_LEAVES = 100_000
 #: A prefix is lengthened from this many places on, and from this share of all anchors,
@@ -442,13 +442,13 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
     volume = keyed.agg(F.sum(F.length("row.text"))).first()[0] or 0
     groups = parts(spark, volume // 6, GROUP_WORDS)
     least = max(HOT_PLACES, int(volume / 6 / (window - prefix + 2) * 2 * HOT_LEAST))
-    sought = keyed.select("kid", "kh", F.col("row.text").alias("text")).mapInArrow(_seek(window, prefix), _SOUGHT)
-    met = sought.repartition(groups, "key").sortWithinPartitions("key").mapInArrow(_repeated(least), "kid long, kh long, at binary, hot long")
+    sought = keyed.select("kid", "kh", F.col("row.text").alias("text")).mapInArrow(W.trimmed(_seek(window, prefix)), _SOUGHT)
+    met = sought.repartition(groups, "key").sortWithinPartitions("key").mapInArrow(W.trimmed(_repeated(least)), "kid long, kh long, at binary, hot long")
     met = stash(met, "anchors")
     lengthened = np.sort(np.array([r.hot for r in met.where("hot is not null").select("hot").collect()], np.int64).view(np.uint64))
     places = met.where("hot is null").groupBy("kid", "kh").agg(F.collect_set("at").alias("at"))
-    leaves = keyed.join(places, ["kid", "kh"]).mapInArrow(_plant(window, prefix, lengthened), _LEAF)
-    grown = leaves.repartition(groups, "key").sortWithinPartitions("key", "right").mapInArrow(_harvest(window, prefix), "kid long, kh long, spans binary")
+    leaves = keyed.join(places, ["kid", "kh"]).mapInArrow(W.trimmed(_plant(window, prefix, lengthened)), _LEAF)
+    grown = leaves.repartition(groups, "key").sortWithinPartitions("key", "right").mapInArrow(W.trimmed(_harvest(window, prefix)), "kid long, kh long, spans binary")
     return grown.groupBy("kid", "kh").agg(F.collect_set("spans").alias("spans"))
 
 
@@ -499,7 +499,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, digest_only: bool = F
                 columns = [c.slice(low, piece.num_rows) for c in flat]
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array(m, t) for m, t in zip(made, (pa.int64(), pa.int64(), pa.string()), strict=True))], names=[*(f.name for f in row.type), *own])
 
-    return joined.mapInArrow(run, widened(rest, f"n_words long, n_removed long, {own[2]} string"))
+    return joined.mapInArrow(W.trimmed(run), widened(rest, f"n_words long, n_removed long, {own[2]} string"))
 
 
 #: The same relation from all windows.

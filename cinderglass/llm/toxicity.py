@@ -28,7 +28,7 @@ TRAIN_ROWS = 20_000
 LEXICON = 20_000
 FOLDS = 4
 #: Text whose lexicon candidates are counted at once.
-COUNT_BYTES = 1 << 21
+COUNT_BYTES = 1 << 20
 THRESHOLD = 0.7
 #: Word beginnings (in bytes) that are lexicon candidates beside whole words.
 STEMS = (4, 5, 6, 7, 8)
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     fold = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FOLDS)).cast("int")
     rows = stash(rows.groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).withColumn("fold", fold), "labelled")
     names = [f"c{j}" for j in range(2 * FOLDS)]
-    counts = rows.mapInArrow(_count, "gram long, " + ", ".join(f"{c} long" for c in names)).groupBy("gram").agg(*(F.sum(c).alias(c) for c in names))
+    counts = rows.mapInArrow(W.trimmed(_count), "gram long, " + ", ".join(f"{c} long" for c in names)).groupBy("gram").agg(*(F.sum(c).alias(c) for c in names))
     toxic = sum((F.col(c) for c in names[1::2]), F.lit(0))
     clean = sum((F.col(c) for c in names[0::2]), F.lit(0))
     sizes = {(r.fold, r.toxic): r.n for r in rows.groupBy("fold", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -198,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 x = features(piece, others, piece.column("fold").to_numpy())
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("fold"), piece.column("toxic"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "fold", "toxic", "x"])
 
-    made = sorted(rows.mapInArrow(run, "doc_id long, fold int, toxic int, x array<double>").collect(), key=lambda r: (r.doc_id, r.x))
+    made = sorted(rows.mapInArrow(W.trimmed(run), "doc_id long, fold int, toxic int, x array<double>").collect(), key=lambda r: (r.doc_id, r.x))
     width = features(pa.RecordBatch.from_arrays([pa.array([""])], names=["text"]), [whole]).shape[1]
     x = np.array([r.x for r in made]).reshape(-1, width)
     y = np.array([r.toxic for r in made], float)

@@ -53,6 +53,22 @@ def test_cells_blocks_and_recall(spark, monkeypatch):
     assert sum(got[i] == want[i] for i in want) >= 0.98 * len(want)
 
 
+def test_recall_of_several_levels(spark, monkeypatch):
+    monkeypatch.setattr(module, "LARGE", 100)
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=48)
+    rows = []
+    for _ in range(1300):
+        base = centre + rng.normal(size=48) * 1.5
+        for _ in range(rng.choice([1, 1, 3])):
+            rows.append((len(rows), (base + rng.normal(size=48) * rng.choice([0, 0.2, 0.45])).tolist(), 7, "x"))
+    got = {r.vec_id: r.n_links for r in embedding_near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, cell string")).collect()}
+    x = np.array([r[1] for r in rows])
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    want = (x @ x.T >= 0.93).sum(axis=1) - 1
+    assert want.sum() > 500 and sum(got.values()) >= 0.99 * want.sum() and all(got[i] <= n for i, n in enumerate(want))
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(3, [1.0, 0.0], 1), (3, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (None, [1.0, 0.0], 1)], "vec_id long, embedding array<float>, label int")
     assert sorted(map(tuple, embedding_near_dedup(df).collect()), key=str) == [(2, 1, 2, True), (3, 1, 2, False), (3, 1, 2, False), (None, 0, None, False)]
