@@ -38,7 +38,7 @@ LEAF_CHARS = 1024
 #: Characters of a text, and ids of one, that are held as Python objects at a time.
 BLOCK_CHARS = 1 << 20
 #: Pieces that are remembered; the memo starts anew beyond.
-MEMO = 800_000
+MEMO = 300_000
 
 _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 #: Leaves of these characters are split here, others by the library.

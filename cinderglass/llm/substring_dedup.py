@@ -39,7 +39,7 @@ from cinderglass.llm.shared import parts, stash, table, widened
 WINDOW = 20
 PREFIX = 5
 #: Words that a task takes at once, words whose leaves a group should hold, leaves of one tree pass.
-TASK_WORDS = 500_000
+TASK_WORDS = 200_000
 GROUP_WORDS = 6_000_000
 TREE_LEAVES = 100_000
 #: A prefix is lengthened from this many places on, and from this share of all anchors,
@@ -301,8 +301,8 @@ def _plant(window: int, prefix: int, lengthened: np.ndarray):
             key = np.where(longer[head], W.mix(texts.whole[some][head] ^ anchor[head]), W.mix(anchor[head])).view(np.int64)
             low, mid, high = begin[start[head]], begin[at[head]], begin[start[head] + n - 1 + window]
             keys = texts.keys[row[head]]
-            for k in range(0, len(head), 50_000):
-                part = slice(k, k + 50_000)
+            for k in range(0, len(head), 20_000):
+                part = slice(k, k + 20_000)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(key[part]),
