@@ -205,7 +205,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     shared = stash(placed.join(buckets, ["band", "bucket"]), "buckets")
     wanted = classes.select("cls", "rep.*").join(shared.select("cls").distinct(), "cls", "left_semi")
     one_each = stash(texts.where("doc_id is not null").join(_broadcastable(wanted), ["doc_id", "text_hash"]).groupBy("cls").agg(F.max("text").alias("text")), "texts")
-    tried = docs.sparkSession.createDataFrame([], "a long, b long")
+    tried = docs.sparkSession.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
     grouped = shared.withColumn("component", F.col("cls"))
     labels = None
     turn = 0
