@@ -37,7 +37,7 @@ from cinderglass.llm.shared import map_rows, table
 LEAF_CHARS = 1024
 #: Characters of a text, and ids of one, that are held as Python objects at a time.
 BLOCK_CHARS = 1 << 20
-#: Pieces that are remembered; the memo starts anew beyond.
+#: Pieces that are remembered, some 0.2 kB each.
 MEMO = 300_000
 
 _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
@@ -62,9 +62,11 @@ def _byte_symbols() -> dict[str, int]:
 class Codec:
     """Encoder and decoder over one tokenizer file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer
 
+        self.most = memo
+
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
@@ -80,6 +82,7 @@ class Codec:
         self.model = self.tok.model
         self.shown = {b: c for c, b in symbols.items()}
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _raw(self, pieces: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -118,6 +121,9 @@ class Codec:
     def _learn(self, fresh: set[str]) -> None:
         """Put the ids of new pieces into the memo, from the library's merges of their byte symbols."""
         for p in fresh:
+            if known := self.older.get(p):
+                self.memo[p] = known
+                continue
             if len(p) <= LEAF_CHARS:
                 ids = [t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.shown))]
             else:
@@ -186,9 +192,9 @@ class Codec:
                 del self.memo[p]
 
     def _tidy(self) -> None:
-        """Start the memo anew when it is full."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
+        """When half of the memo is full, the other half makes room; what is met again moves over."""
+        if len(self.memo) > self.most // 2:
+            self.older, self.memo = self.memo, {}
         self.memo.update(self.special)
 
     def decoded(self, ids: np.ndarray) -> Iterator[str]:
@@ -213,9 +219,9 @@ class Codec:
 
 
 @functools.cache
-def worker_codec(path: str) -> Codec:
+def worker_codec(path: str, memo: int = MEMO) -> Codec:
     """One codec for all tasks of a worker: the file is parsed once, the memo stays warm."""
-    return Codec(path)
+    return Codec(path, memo)
 
 
 def _encode(path: str, digests: bool):

@@ -30,6 +30,9 @@ END_ID = 2
 BLOCK_IDS = 100_000
 SHARD_CHARS = 24_000_000
 
+#: Pieces that an encoder remembers.
+MEMO = 800_000
+
 _RANK_BITS = 512
 _HEAD = struct.Struct("<4sBQ")
 _MAGIC = b"DAC1"
@@ -101,7 +104,7 @@ def _write(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        codec, shard, block = worker_codec(path), TaskContext.get().partitionId(), 0
+        codec, shard, block = worker_codec(path, MEMO), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         docs, lengths, held, size = [], [], [], 0
 
