@@ -132,16 +132,15 @@ def _write(path: str, end_id: int):
 def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Encode ``docs(doc_id, text)`` in ascending doc_id order into a store; return its blocks.
 
-    A null doc_id comes first; rows of one doc_id are ordered by a hash of the text, so
-    many of them go to several tasks.  Null and empty texts hold the end id alone.  Other columns are ignored.  An empty table gives an
+    A null doc_id comes first; rows of one doc_id are ordered by text, and those that
+    begin differently can go to several tasks.  Null and empty texts hold the end id alone.  Other columns are ignored.  An empty table gives an
     empty store.
     """
     spark = docs.sparkSession
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     volume = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    rows = rows.withColumn("tie", F.xxhash64("text"))
-    ordered = rows.repartitionByRange(parts(spark, volume, SHARD_CHARS), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
-    return stash(ordered.select("doc_id", "text").mapInArrow(_write(path or default_path(), end_id), "shard int, block int, n_ids long, doc_ids array<long>, lengths array<long>, codes binary"), "tokens")
+    ordered = rows.repartitionByRange(parts(spark, volume, SHARD_CHARS), F.col("doc_id"), F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
+    return stash(ordered.mapInArrow(_write(path or default_path(), end_id), "shard int, block int, n_ids long, doc_ids array<long>, lengths array<long>, codes binary"), "tokens")
 
 
 def read_tokens(blocks: DataFrame, digests: bool = False) -> DataFrame:
