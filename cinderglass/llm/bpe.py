@@ -59,6 +59,18 @@ def _byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class _Memo(dict):
+    """Ids of pieces; a new piece is learned where it is met."""
+
+    def __init__(self, learn, known: dict[str, bytes]):
+        super().__init__(known)
+        self.learn = learn
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.learn(piece)
+        return ids
+
+
 class Codec:
     """Encoder and decoder over one tokenizer file."""
 
@@ -81,8 +93,10 @@ class Codec:
         self.decimal = [b",%d" % i for i in range(n)]
         self.model = self.tok.model
         self.shown = {b: c for c, b in symbols.items()}
-        self.memo: dict[str, bytes] = {}
+        self.space = self.shown[0x20]
+        self.four = [struct.pack("<I", i) for i in range(n)]
         self.older: dict[str, bytes] = {}
+        self.memo = _Memo(self._ids, self.special)
 
     def _raw(self, pieces: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -118,17 +132,17 @@ class Codec:
         left += right[b:]
         return left
 
-    def _learn(self, fresh: set[str]) -> None:
-        """Put the ids of new pieces into the memo, from the library's merges of their byte symbols."""
-        for p in fresh:
-            if known := self.older.get(p):
-                self.memo[p] = known
-                continue
-            if len(p) <= LEAF_CHARS:
-                ids = [t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.shown))]
-            else:
-                ids = self.long_piece(p)
-            self.memo[p] = struct.pack(f"<{len(ids)}I", *ids)
+    def _ids(self, piece: str) -> bytes:
+        """The ids of a piece, from the library's merges of its byte symbols."""
+        if known := self.older.get(piece):
+            return known
+        if len(piece) > LEAF_CHARS:
+            ids = self.long_piece(piece)
+        elif piece.isascii() and piece.isprintable():
+            ids = [t.id for t in self.model.tokenize(piece.replace(" ", self.space))]
+        else:
+            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))]
+        return b"".join(map(self.four.__getitem__, ids))
 
     def long_piece(self, piece: str) -> list[int]:
         """Encode a piece by leaves and joins."""
@@ -167,35 +181,19 @@ class Codec:
             yield held
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Per text, its ids as little-endian unsigned 32-bit integers; new pieces of all short texts are learned at once."""
-        found: list[list[str] | None] = []
-        self._tidy()
-        fresh: set[str] = set()
+        """Per text, its ids as little-endian unsigned 32-bit integers."""
         for text in texts:
-            if len(text or "") > BLOCK_CHARS:
-                found.append(None)
-                continue
-            own = [p for part in self.parts(text or "") for p in part]
-            fresh.update(own)
-            found.append(own)
-        self._learn(fresh.difference(self.memo))
-        for text, own in zip(texts, found, strict=True):
-            yield b"".join(map(self.memo.__getitem__, own)) if own is not None else b"".join(self._long_text(text))
-
-    def _long_text(self, text: str) -> Iterator[bytes]:
-        """Ids of a long text's parts; their pieces are remembered for one part only."""
-        for own in self.parts(text):
-            fresh = set(own).difference(self.memo)
-            self._learn(fresh)
-            yield b"".join(map(self.memo.__getitem__, own))
-            for p in fresh:
-                del self.memo[p]
-
-    def _tidy(self) -> None:
-        """When half of the memo is full, the other half makes room; what is met again moves over."""
+            text = text or ""
+            if len(text) > BLOCK_CHARS or any(m in text for m in self.marks):
+                yield b"".join(map(self._known, self.parts(text)))
+            else:
+                yield self._known(self.split(text))
+
+    def _known(self, pieces: list[str]) -> bytes:
+        """Ids of pieces.  When half of the memo is full the other half makes room; what is met again moves over."""
         if len(self.memo) > self.most // 2:
-            self.older, self.memo = self.memo, {}
-        self.memo.update(self.special)
+            self.older, self.memo = self.memo, _Memo(self._ids, self.special)
+        return b"".join(map(self.memo.__getitem__, pieces))
 
     def decoded(self, ids: np.ndarray) -> Iterator[str]:
         """The text of ids, in blocks."""
