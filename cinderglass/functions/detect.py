@@ -35,7 +35,9 @@ def strings(*items: str) -> Column:
 
 
 def code_points(content: Column, severity: str) -> Column:
-    return F.array_compact(F.array(*(F.when(content.rlike(regex), F.lit(name)) for s, name, regex in CODE_POINTS if s == severity)))
+    """Findings of a severity; all of them need a character outside ASCII."""
+    found = F.array_compact(F.array(*(F.when(content.rlike(regex), F.lit(name)) for s, name, regex in CODE_POINTS if s == severity)))
+    return F.when(F.octet_length(content) > F.length(content), found).otherwise(strings())
 
 
 def base64_payload(content: Column) -> Column:
@@ -54,7 +56,9 @@ def base64_prefix(content: Column) -> Column:
 def leet_phrase(content: Column) -> Column:
     """The first phrase that shows only after undoing leetspeak, or null."""
     low = views.lower(content)
-    return F.get(F.filter(strings(*LEET_PHRASES), lambda p: F.contains(views.leet(low), p) & ~F.contains(low, p)), F.lit(0))
+    both = F.array(F.struct(low.alias("low"), views.leet(low).alias("leet")))
+    first = lambda v: F.get(F.filter(strings(*LEET_PHRASES), lambda p: F.contains(v["leet"], p) & ~F.contains(v["low"], p)), F.lit(0))
+    return F.get(F.transform(both, first), F.lit(0))  # the array of one makes each text once, not once a phrase
 
 
 def _cased(found: Column, casing: dict[str, str]) -> Column:

@@ -31,7 +31,8 @@ def entity_decoded(low: Column) -> Column:
     out = F.regexp_replace(low, "&#x([0-9a-f]{2});", r"\\x$1")
     out = F.regexp_replace(out, "&#([0-9]{2,3});", "ENTITY_$1")
     pairs = [("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&quot;", '"')] + [(f"ENTITY_{ord(x)}", x) for x in PLAIN]
-    return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), pairs, out)
+    decoded = reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), pairs, out)
+    return F.when(F.contains(low, F.lit("&")), decoded).otherwise(low)
 
 
 def stripped(low: Column) -> Column:
@@ -39,7 +40,8 @@ def stripped(low: Column) -> Column:
 
 
 def confusable(low: Column) -> Column:
-    return F.regexp_replace(F.translate(low, LOOKALIKES + WIDE, LOOKALIKE_OF + PLAIN), r"[\x{0300}-\x{036F}\x{FE00}-\x{FE0F}]", "")
+    plain = F.regexp_replace(F.translate(low, LOOKALIKES + WIDE, LOOKALIKE_OF + PLAIN), r"[\x{0300}-\x{036F}\x{FE00}-\x{FE0F}]", "")
+    return F.when(F.octet_length(low) > F.length(low), plain).otherwise(low)
 
 
 def unicode_spaces(low: Column) -> Column:
